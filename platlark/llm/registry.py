@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from platlark.llm import native_quality
+from platlark.llm import native_quality, simhash
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -17,8 +17,18 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return native_quality.quality(docs, trusted)
 
 
+def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.components(_read(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        F.lower(F.hex("code")).alias("fingerprint"),
+        F.col("component").alias("component_id"),
+    )
+
+
 QUERIES = {
     "op7_quality_rules": op7_quality_rules,
+    "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
 ORACLE: dict[str, str] = {}

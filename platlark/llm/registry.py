@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from platlark.llm import native_quality, simhash
+from platlark.llm import native_quality, simhash, url_rules
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -26,9 +26,45 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: The rules that the url query applies: action, host, path.
+URL_RULES = [
+    ("block", "net", "/"),
+    ("allow", "example.net", "/en/"),
+    ("block", "example.com", "/de/"),
+    ("allow", "org", "/fr/"),
+]
+
+
+def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "action string, host string, path string")
+    return url_rules.judge(_read(spark, sf_dir, "pages"), rules).withColumnRenamed("id", "page_id")
+
+
+OP5_SQL = """
+WITH cut AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
+  FROM pages
+), parts AS (
+  SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM cut
+), hits AS (
+  SELECT p.page_id, p.host, p.path, r.host || r.path AS rule, r.action, length(r.host || r.path) AS size
+  FROM parts p JOIN (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'),
+                            ('allow', 'org', '/fr/')) r(action, host, path)
+    ON (p.host = r.host OR p.host LIKE '%.' || r.host) AND starts_with(p.path, r.path)
+), best AS (SELECT page_id, arg_max(rule, size) AS rule, arg_max(action, size) AS action FROM hits GROUP BY page_id)
+SELECT p.page_id, coalesce(p.host, '') AS host, coalesce(p.path, '') AS path, b.rule, coalesce(b.action, 'allow') AS verdict
+FROM parts p LEFT JOIN best b USING (page_id)
+"""
+
+
 QUERIES = {
+    "op5_url_rules": op5_url_rules,
     "op7_quality_rules": op7_quality_rules,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op5_url_rules": OP5_SQL,
+}

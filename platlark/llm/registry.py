@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from platlark.llm import native_quality, simhash, url_rules
+from platlark.llm import native_quality, packing, simhash, url_rules
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -59,8 +59,13 @@ FROM parts p LEFT JOIN best b USING (page_id)
 """
 
 
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op5_url_rules": op5_url_rules,
+    "op6_best_fit_packing": op6_best_fit_packing,
     "op7_quality_rules": op7_quality_rules,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from platlark.llm import native_quality, packing, simhash, url_rules
+from platlark.llm import mixing, native_quality, packing, simhash, spans, url_rules
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -63,13 +63,47 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_read(spark, sf_dir, "documents"))
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = spans.remove_repeats(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_sentences", "n_removed", "text")
+
+
+def op8_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_read(spark, sf_dir, "documents"))
+
+
+OP8_SQL = """
+WITH sizes AS (SELECT source, sum(length(coalesce(text, '')))::DOUBLE AS size FROM documents GROUP BY source),
+rates AS (
+  SELECT source, CASE WHEN size > 0
+           THEN pow(size, 0.5) / (SELECT sum(pow(size, 0.5)) FROM sizes) * (SELECT sum(size) FROM sizes) / size
+           ELSE 1.0 END AS rate
+  FROM sizes
+), means AS (SELECT source, greatest(1, ceil(rate / 8.0))::INT AS draws, rate / greatest(1, ceil(rate / 8.0)) AS mean FROM rates),
+cdf AS (
+  SELECT source, k, sum(exp(-mean + k * ln(mean) - lgamma(k + 1.0))) OVER (PARTITION BY source ORDER BY k) AS c
+  FROM means, range(64) t(k)
+), draws AS (
+  SELECT d.doc_id, d.source, j, ('0x' || substr(md5(coalesce(d.doc_id::VARCHAR, '') || ':42:' || j), 1, 13))::BIGINT / 4503599627370496.0 AS u
+  FROM documents d JOIN means m ON d.source IS NOT DISTINCT FROM m.source, LATERAL (SELECT unnest(range(1, m.draws + 1)) AS j)
+), counts AS (
+  SELECT w.doc_id, count(*) AS n FROM draws w JOIN cdf c ON w.source IS NOT DISTINCT FROM c.source AND c.c <= w.u GROUP BY w.doc_id
+)
+SELECT d.*, copy::INT AS copy, md5(coalesce(d.doc_id::VARCHAR, '') || ':42:order:' || copy) AS shuffle_key
+FROM documents d JOIN counts USING (doc_id), LATERAL (SELECT unnest(range(1, n + 1)) AS copy)
+"""
+
+
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op5_url_rules": op5_url_rules,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_quality_rules": op7_quality_rules,
+    "op8_poisson_mixing": op8_poisson_mixing,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
 ORACLE: dict[str, str] = {
     "op5_url_rules": OP5_SQL,
+    "op8_poisson_mixing": OP8_SQL,
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from platlark.llm import mixing, native_quality, packing, simhash, spans, url_rules
+from platlark.llm import mixing, native_quality, packing, simhash, spans, url_rules, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -94,8 +94,13 @@ FROM documents d JOIN counts USING (doc_id), LATERAL (SELECT unnest(range(1, n +
 """
 
 
+def op2_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_read(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_warc_segments": op2_warc_segments,
     "op5_url_rules": op5_url_rules,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_quality_rules": op7_quality_rules,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from platlark.llm import mixing, native_quality, packing, simhash, spans, url_rules, warc
+from platlark.llm import imatch, mixing, native_quality, ordering, packing, simhash, spans, url_rules, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -98,13 +98,23 @@ def op2_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_read(spark, sf_dir, "pages"))
 
 
+def op3_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.compare_next(_read(spark, sf_dir, "documents"))
+
+
+def op9_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordering.round_trip(_read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_warc_segments": op2_warc_segments,
+    "op3_imatch_fingerprints": op3_imatch_fingerprints,
     "op5_url_rules": op5_url_rules,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_quality_rules": op7_quality_rules,
     "op8_poisson_mixing": op8_poisson_mixing,
+    "op9_training_order": op9_training_order,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from platlark.llm import imatch, mixing, native_quality, ordering, packing, simhash, spans, url_rules, warc
+from platlark.llm import imatch, mixing, native_quality, ordering, packing, simhash, spans, templates, url_rules, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -106,10 +106,15 @@ def op9_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordering.round_trip(_read(spark, sf_dir, "documents"))
 
 
+def op4_template_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.main_text(_read(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_warc_segments": op2_warc_segments,
     "op3_imatch_fingerprints": op3_imatch_fingerprints,
+    "op4_template_extraction": op4_template_extraction,
     "op5_url_rules": op5_url_rules,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_quality_rules": op7_quality_rules,

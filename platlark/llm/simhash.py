@@ -266,3 +266,68 @@ def components(docs: DataFrame, doc_id="doc_id", text="text", shingle=3, bits=64
         F.col("code").alias("of"), F.coalesce("component", "id").alias("component")
     )
     return codes.join(labels, codes["code"] == labels["of"]).select("id", "code", "component")
+
+
+WIDE = 128
+
+
+def _sets(text: bytes | None, size: int) -> np.ndarray:
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles(text or b"", size)), dtype=np.uint64))
+
+
+def similar(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, shingle: int, least: float) -> DataFrame:
+    """The ``pairs`` (src, dst) whose sets of word shingles have a Jaccard similarity of ``least`` or more."""
+    pairs = cut(pairs.distinct())
+    ends = pairs.select(F.col("src").alias("__n_id")).union(pairs.select("dst")).distinct()
+    texts = docs.select(F.col(doc_id).alias("__n_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t"))
+    texts = texts.join(ends, "__n_id", "left_semi").groupBy("__n_id").agg(F.min("t").alias("t"))
+    both = pairs.join(texts.select(F.col("__n_id").alias("src"), F.col("t").alias("a")), "src").join(
+        texts.select(F.col("__n_id").alias("dst"), F.col("t").alias("b")), "dst"
+    )
+
+    def run(batches):
+        for batch in batches:
+            near = []
+            last_a = set_a = None
+            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if a != last_a:
+                    last_a, set_a = a, _sets(a, shingle)
+                set_b = _sets(b, shingle)
+                common = len(np.intersect1d(set_a, set_b, assume_unique=True))
+                union = len(set_a) + len(set_b) - common
+                near.append(common >= least * union)  # two empty sets are alike
+            keep = pa.array(np.flatnonzero(near))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep)], ["src", "dst"])
+
+    return both.select("src", "dst", "a", "b").mapInArrow(run, "src long, dst long")
+
+
+def deduplicate(
+    docs: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    shingle: int = 5,
+    least: float = 0.8,
+    tables: int = 32,
+    slack: float = 0.12,
+) -> DataFrame:
+    """``docs`` with the document of the smallest id of each near-duplicate group.
+
+    Fingerprints have 128 bits.  Two texts with a Jaccard similarity of ``least``
+    differ in about 15 % of them; links may differ in ``slack`` more and are then
+    verified on the shingle sets of the whole texts.  The index has ``tables``
+    sampled masks, each as wide as the logarithm of the number of different
+    fingerprints and two bits more, so a node holds few unrelated texts at any size.
+    """
+    codes = cut(fingerprints(docs.filter(F.col(doc_id).isNotNull()), doc_id, text, shingle, WIDE))
+    distinct = cut(codes.groupBy("code").agg(F.min("id").alias("id")))
+    n = distinct.count()
+    cosine = 2 * least / (1 + least)
+    radius = int(WIDE * (np.arccos(cosine) / np.pi + slack))
+    width = min(48, max(12, int(np.ceil(np.log2(max(n, 2)))) + 1))
+    found = search(distinct, sampled_masks(WIDE, width, tables), WIDE, radius)
+    same = codes.join(distinct.withColumnRenamed("id", "rep"), "code").filter("id <> rep").select(F.col("rep").alias("src"), F.col("id").alias("dst"))
+    links = similar(found.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).union(same), docs, doc_id, text, shingle, least)
+    drop = connected_components(links).filter("node <> component").select(F.col("node").alias("__n_drop"))
+    kept = docs.join(drop, F.col(doc_id) == F.col("__n_drop"), "left_anti")
+    return kept.filter(F.col(doc_id).isNotNull()).dropDuplicates([doc_id]).union(kept.filter(F.col(doc_id).isNull()))

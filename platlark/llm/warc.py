@@ -13,7 +13,7 @@ are verified.  A revisit takes its payload's length and digest from the record t
 it refers to.
 
 Files are written as text lines ended by CRLF: a record is its own CRLF line, so
-each file is a plain WARC file.  ``records_per_file`` bounds a file, and a file is
+each file is a WARC file, compressed as a whole with gzip.  ``records_per_file`` bounds a file, and a file is
 what one reading task holds at a time.
 
 Defined results
@@ -29,6 +29,7 @@ Defined results
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 from dataclasses import dataclass
 
@@ -152,7 +153,7 @@ def write(pages: DataFrame, path: str, row_id="page_id", url="url", html="html",
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
 
     text = rows.dropDuplicates(["sha", "id"]).mapInArrow(run, "value binary").select(F.col("value").cast("string"))
-    text.write.option("lineSep", "\r\n").option("maxRecordsPerFile", params.records_per_file).text(path)
+    text.write.option("lineSep", "\r\n").option("compression", "gzip").option("maxRecordsPerFile", params.records_per_file).text(path)
 
 
 def parse(data: bytes):
@@ -186,7 +187,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
         rows, held = [], 0
         for b in batches:
             for data in b.column(0):
-                for h, block in parse(data.as_py()):
+                for h, block in parse(gzip.decompress(data.as_py())):
                     get = h.get
                     total, segment = get("WARC-Segment-Total-Length"), get("WARC-Segment-Number")
                     rows.append((

@@ -37,6 +37,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from platlark.functions.shared import cut, staged
 from platlark.llm.url_rules import host_of
 
 MIN_PAGES = 3
@@ -140,7 +141,7 @@ def deduce(pages: DataFrame, row_id: str, url: str, html: str) -> DataFrame:
     ``links`` has the mean positions of the repeated classes of two tokens or more
     that hold a link.
     """
-    vectors = (
+    vectors = cut(
         occurrences(pages, row_id, url, html)
         .groupBy("host", "token")
         .agg(
@@ -280,7 +281,7 @@ def extract(page: str, frame=None, places=None, links=None, by_marks: bool = Tru
 def main_text(pages: DataFrame, row_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(id, url, text, n_chars) for every page."""
     kind = pages.schema[row_id].dataType.simpleString()
-    frames = deduce(pages, row_id, url, html)
+    frames = staged(deduce(pages, row_id, url, html), "frames")  # small enough, it is broadcast; else a shuffled join
     rows = pages.select(F.col(row_id).alias("id"), F.col(url).alias("url"), F.col(html).alias("html"), host_of(F.col(url)).alias("host"))
     rows = rows.join(frames, rows["host"] == frames["of"], "left").select("id", "url", "html", "frame", "places", "links")
 

@@ -25,6 +25,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     )
     e = cut(e)
     last = None
+    if not e.head(1):
+        return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     for _ in range(max_rounds):
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))

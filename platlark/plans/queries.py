@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from platlark.functions import geometry as G, names as N, platnames as P
 from platlark.operators import answers as A, candidates as C, context as X, export as E, measure as M, places as L, plats as T, prompts as B, runs as R
-from platlark.plans import town
+from platlark.plans import stages, town
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -190,16 +190,8 @@ def plat_families(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def street_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole decision chain: places, families, clipping, scores, naming, neighbours."""
-    w = town.ways(spark, sf_dir)
-    plats = T.recorded(town.plats(spark, sf_dir))
-    members = L.place_ways(w)
-    lines = w.select("way_id", "pts").join(members.select("way_id", "place_id"), "way_id")
-    parts = M.clip(lines, plats)
-    places = L.describe(w, members).join(M.covered(parts), "place_id", "left").fillna({"covered_m": 0.0})
-    rows = M.place_plats(parts, plats, T.families(plats))
-    scored = X.score(rows, places)
-    out = X.contexts(places, scored, M.attached(members, w), M.near_unplatted(members, w, parts))
-    return out.drop("plats")
+    m = stages.measure(town.ways(spark, sf_dir), town.plats(spark, sf_dir))
+    return stages.decide(m)[0].drop("plats")
 
 
 SCORED_SQL = f"""

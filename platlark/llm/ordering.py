@@ -40,7 +40,7 @@ from platlark.llm import tokens
 class OrderParams:
     length: int = 2048
     end_id: int = 0
-    per_shard: int = 1024
+    per_shard: int = 512
     key: int = 0x5EED
     rounds: int = 6
 
@@ -99,7 +99,7 @@ def sequences(docs: DataFrame, doc_id: str, text: str, tokenizer: str, params: O
             return pa.RecordBatch.from_arrays(cols, ["task", "local", "n_tokens", "doc_ids", "ids_crc32", "data"])
 
         id_type = pa.int64()
-        for b in batches:
+        for b in (x.slice(i, 500) for x in batches for i in range(0, x.num_rows, 500)):
             id_type, rows = b.column(0).type, []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 ids = np.append(np.frombuffer(encode(t), dtype="<u4"), np.uint32(params.end_id))

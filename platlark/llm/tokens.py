@@ -14,7 +14,7 @@ import os
 from array import array
 from functools import lru_cache
 
-CACHE_WORDS = 600_000
+CACHE_WORDS = 100_000
 
 
 def default_path() -> str:

@@ -105,16 +105,25 @@ def subset_masks(terms: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprint(text: bytes, words: np.ndarray) -> str:
-    """One hash of ``DIGITS`` hex digits for each subset; dashes where it keeps none of the terms."""
+def memberships(terms: np.ndarray) -> np.ndarray:
+    """(term, subset): whether the subset keeps the term."""
+    return np.unpackbits(subset_masks(terms)[:, None].view(np.uint8), axis=1, bitorder="little").astype(bool)
+
+
+def fingerprint(text: bytes, words: np.ndarray, held: np.ndarray) -> str:
+    """One hash of ``DIGITS`` hex digits for each subset; dashes where it keeps none of the terms.
+
+    words: the sorted lexicon; held: its ``memberships``.
+    """
     all_terms = term_hashes(text)
-    kept = all_terms
+    kept, member = all_terms, None
     if len(words) and len(all_terms):
         at = np.minimum(np.searchsorted(words, all_terms), len(words) - 1)
-        kept = all_terms[words[at] == all_terms]
-        if not len(kept):
-            kept = all_terms
-    member = np.unpackbits(subset_masks(kept)[:, None].view(np.uint8), axis=1, bitorder="little").astype(bool)
+        found = words[at] == all_terms
+        if found.any():
+            kept, member = all_terms[found], held[at[found]]
+    if member is None:
+        member = memberships(kept)
     out = []
     for k in range(len(RATES)):
         inside = kept[member[:, k]]
@@ -181,6 +190,7 @@ def compare_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pa
 
     def run(batches):
         unpack = zstandard.ZstdDecompressor().decompress
+        held_by = memberships(words)
         names = ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
         types = [None, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
         held, last = [], None
@@ -189,7 +199,7 @@ def compare_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pa
             i, a, fa = own
             half = len(a) // 2
             edited = (a[: len(a) - half] + nxt[1][:half]).encode()
-            fe = fingerprint(edited, words)
+            fe = fingerprint(edited, words, held_by)
             return i, len(a), hashlib.sha256(edited).hexdigest(), fa, fe, likeness(fa, fe), likeness(fa, nxt[2])
 
         def batch():
@@ -201,7 +211,7 @@ def compare_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pa
                 if carry and (last is None or last[0] != p):
                     continue  # only the first carried row is the next document
                 data = unpack(z) if z else b""
-                row = (i, data.decode(), fingerprint(data, words))
+                row = (i, data.decode(), fingerprint(data, words, held_by))
                 if last is not None and last[0] == p:
                     held.append(judged(last[1], row))
                 last = None if carry else (p, row)

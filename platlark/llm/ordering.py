@@ -82,14 +82,13 @@ def sequences(docs: DataFrame, doc_id: str, text: str, tokenizer: str, params: O
 
     def run(batches):
         encode = tokens.encoder(tokenizer).encode
-        pack = zstandard.ZstdCompressor(level=3).compress
         task = TaskContext.get().partitionId()
         held, owners, count, local = [], [], 0, 0
 
         def cut(ids: np.ndarray, spans, n):
             nonlocal local
             data = ids.astype("<u2").tobytes()
-            row = (task, local, n, [o for o in dict.fromkeys(spans) if o is not None], zlib.crc32(data), pack(data))
+            row = (task, local, n, [o for o in dict.fromkeys(spans) if o is not None], zlib.crc32(data), data)
             local += 1
             return row
 
@@ -127,7 +126,7 @@ def sequences(docs: DataFrame, doc_id: str, text: str, tokenizer: str, params: O
 
 
 def numbered(seqs: DataFrame, params: OrderParams) -> tuple[DataFrame, int]:
-    """``seqs`` with sequence_id, slot and shard; how many there are."""
+    """``seqs`` with sequence_id, slot and shard, their ids compressed for the shuffle; how many there are."""
     counts = dict(seqs.groupBy("task").count().collect())  # one row for each scan task
     first, total = {}, 0
     for task in sorted(counts):
@@ -135,7 +134,11 @@ def numbered(seqs: DataFrame, params: OrderParams) -> tuple[DataFrame, int]:
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in seqs.schema.fields)
 
     def run(batches):
-        for b in batches:
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for b in (x.slice(i, 500) for x in batches for i in range(0, x.num_rows, 500)):
+            if "data" in b.schema.names:
+                packed = pa.array([pack(x) for x in b.column("data").to_pylist()], pa.binary())
+                b = b.set_column(b.schema.get_field_index("data"), "data", packed)
             task, local = b.column("task").to_numpy(), b.column("local").to_numpy()
             index = local + np.array([first[t] for t in task], dtype=np.int64)
             slot = permute(index, total, params.key, params.rounds)
@@ -198,10 +201,9 @@ def materialise(
     docs: DataFrame, path: str, doc_id="doc_id", text="text", tokenizer: str | None = None, params: OrderParams = OrderParams()
 ) -> DataFrame:
     """Writes the shards under ``path``; returns one row per sequence, without its ids."""
-    seqs = staged(sequences(docs, doc_id, text, tokenizer or tokens.default_path(), params), "sequences")
-    seqs, _ = numbered(seqs, params)
-    write_shards(seqs, path, params)
-    return seqs.select("sequence_id", "slot", "shard", "n_tokens", "doc_ids", "ids_crc32")
+    seqs = staged(sequences(docs, doc_id, text, tokenizer or tokens.default_path(), params), "sequences", "zstd")
+    write_shards(numbered(seqs, params)[0], path, params)
+    return numbered(seqs.drop("data"), params)[0].select("sequence_id", "slot", "shard", "n_tokens", "doc_ids", "ids_crc32")
 
 
 def round_trip(docs: DataFrame, doc_id="doc_id", text="text", tokenizer=None, params: OrderParams = OrderParams()) -> DataFrame:

@@ -152,8 +152,8 @@ def evolve(lengths: list[int], params: PackParams, seed: int) -> list[list[int]]
     return best
 
 
-def _round(todo: DataFrame, number: int, params: PackParams, problems: int) -> DataFrame:
-    """``todo`` with sequence_id and offset where a bin is final, null elsewhere."""
+def _round(todo: DataFrame, number: int, params: PackParams, problems: int, base: int) -> DataFrame:
+    """``todo`` with sequence_id and offset where a bin is final, null elsewhere; ``base`` problems came before."""
     last = number == params.rounds - 1
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
     types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in todo.schema.fields)
@@ -170,7 +170,7 @@ def _round(todo: DataFrame, number: int, params: PackParams, problems: int) -> D
                 if last or sum(lengths[i] for i in b) >= params.accept * params.capacity:
                     at = 0
                     for i in b:
-                        seq[i], off[i] = ((number * problems + problem) << 24) + k, at
+                        seq[i], off[i] = ((base + problem) << 24) + k, at
                         at += lengths[i]
             t = t.drop_columns(["problem"])
             t = t.append_column("sequence_id", pa.array(seq, pa.int64())).append_column("offset", pa.array(off, pa.int64()))
@@ -204,11 +204,14 @@ def pack(parts: DataFrame, params: PackParams = PackParams()) -> DataFrame:
         (F.lit(1 << 60) + F.monotonically_increasing_id()).alias("sequence_id"),
         F.lit(0).cast("long").alias("offset"),
     )
+    base = 0
     for number in range(params.rounds):
         count = todo.count()
         if not count:
             break
-        placed = staged(_round(todo, number, params, -(-count // params.problem)), "packed")
+        problems = -(-count // params.problem)
+        placed = staged(_round(todo, number, params, problems, base), "packed")
+        base += problems
         done = done.union(placed.filter("sequence_id is not null"))
         todo = placed.filter("sequence_id is null").drop("sequence_id", "offset")
     return done

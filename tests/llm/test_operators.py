@@ -204,6 +204,20 @@ def test_packing_round_trip(docs, rows):
     assert packing.pack_documents(docs.limit(0)).count() == 0
 
 
+def test_packing_of_several_problems_shares_no_sequence(spark):
+    rng = random.Random(6)
+    rows = [(i, 0, 0, rng.randrange(1, 1500), i) for i in range(300)]
+    parts = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    got = packing.pack(parts, packing.PackParams(problem=20)).collect()
+    assert sorted(r.doc_id for r in got) == list(range(300))
+    bins: dict = {}
+    for r in got:
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for b in bins.values():
+        b.sort()
+        assert all(o == sum(n for _, n in b[:k]) for k, (o, _) in enumerate(b)) and sum(n for _, n in b) <= 2048
+
+
 def test_tokens_are_the_tokenizers_own():
     e = packing.tokens.encoder(packing.tokens.default_path())
     for t in ["a  b", "don't it's\t\tx  ", " x", "x ", "a\xa0b", "<|endoftext|> x", "a\n \nb", "日本 語 \n", "x\r\n y 12.5 'll", "a \nb"]:

@@ -177,7 +177,7 @@ def node_links(codes: np.ndarray, radius: int, block: int = 256) -> np.ndarray:
             j = np.concatenate([j[~wide], extra])
         keep = j < q
         q, j, apart = q[keep], j[keep], apart[keep]
-        while len(q):  # the closest pair between each two components joins them
+        while len(q):  # a smaller label that is near joins each larger one
             a, b = component[q], component[j]
             apart_from = a != b
             q, j, apart, a, b = (x[apart_from] for x in (q, j, apart, a, b))
@@ -269,37 +269,101 @@ def components(docs: DataFrame, doc_id="doc_id", text="text", shingle=3, bits=64
 
 
 WIDE = 128
+GROUP_ROWS = 256
 
 
 def _sets(text: bytes | None, size: int) -> np.ndarray:
     return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles(text or b"", size)), dtype=np.uint64))
 
 
-def similar(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, shingle: int, least: float) -> DataFrame:
-    """The ``pairs`` (src, dst) whose sets of word shingles have a Jaccard similarity of ``least`` or more."""
-    pairs = cut(pairs.distinct())
-    ends = pairs.select(F.col("src").alias("__n_id")).union(pairs.select("dst")).distinct()
+def _alike(a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common >= least * (len(a) + len(b) - common)  # two empty sets are alike
+
+
+def verified_links(codes: np.ndarray, texts: list[bytes], radius: int, shingle: int, least: float, block: int = 64) -> list[tuple[int, int]]:
+    """Links of verified similarity that span the components of *all* verified pairs within ``radius``.
+
+    A pair is left out only if verified links connect it already, so a rejected
+    pair never stands for another one.
+    """
+    m = len(codes)
+    lanes = np.ascontiguousarray(codes).view(np.uint64)
+    root, sets, links = np.arange(m), {}, []
+
+    def set_of(i: int) -> np.ndarray:
+        if i not in sets:
+            sets[i] = _sets(texts[i], shingle)
+        return sets[i]
+
+    for at in range(0, m, block):
+        q, j = (x.ravel() for x in np.meshgrid(np.arange(at, min(m, at + block)), np.arange(min(m, at + block)), indexing="ij"))
+        q, j = q[j < q], j[j < q]
+        apart = np.bitwise_count(lanes[q] ^ lanes[j]).sum(axis=1)
+        near = np.flatnonzero(apart <= radius)
+        near = near[np.argsort(apart[near], kind="stable")]
+        q, j = q[near], j[near]
+        while len(q):
+            open_ = root[q] != root[j]
+            q, j = q[open_], j[open_]
+            done = len(q)
+            for k, (x, y) in enumerate(zip(q.tolist(), j.tolist(), strict=True)):
+                if _alike(set_of(x), set_of(y), least):
+                    links.append((x, y))
+                    lo, hi = sorted((root[x], root[y]))
+                    root[root == hi] = lo
+                    done = k + 1
+                    break
+            q, j = q[done:], j[done:]
+    return links
+
+
+def similar(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, shingle: int, least: float, radius: int) -> DataFrame:
+    """Links (src, dst) of similarity ``least`` or more among the documents that ``pairs`` (src, dst) connect.
+
+    ``pairs`` are candidates that need not hold.  Inside each of their components
+    every pair of texts within ``radius`` is decided on the whole shingle sets.
+    Components of more than ``GROUP_ROWS`` texts are cut into chunks, and every two
+    chunks meet in a part of their own.
+    """
+    group = connected_components(pairs).select(F.col("node").alias("__n_id"), F.col("component").alias("group"))
     texts = docs.select(F.col(doc_id).alias("__n_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t"))
-    texts = texts.join(ends, "__n_id", "left_semi").groupBy("__n_id").agg(F.min("t").alias("t"))
-    both = pairs.join(texts.select(F.col("__n_id").alias("src"), F.col("t").alias("a")), "src").join(
-        texts.select(F.col("__n_id").alias("dst"), F.col("t").alias("b")), "dst"
+    texts = cut(texts.join(group, "__n_id").groupBy("__n_id").agg(F.min("t").alias("t"), F.first("group").alias("group")))
+    # equal texts are linked to their smallest id, which then stands for them
+    first = texts.groupBy("group", F.sha2("t", 256).alias("sha")).agg(F.min("__n_id").alias("rep"))
+    named = texts.withColumn("sha", F.sha2("t", 256))
+    same = named.drop("t").join(first, ["group", "sha"]).filter("__n_id <> rep").select(F.col("__n_id").alias("src"), F.col("rep").alias("dst"))
+    rows = named.join(first.select(F.col("rep").alias("__n_id")), "__n_id", "left_semi")
+    size = first.groupBy("group").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    rows = rows.join(size, "group").withColumn("chunks", F.ceil(F.col("n") / GROUP_ROWS).cast("int"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("__n_id"), F.col("chunks")).cast("int"))
+    rows = rows.withColumn(
+        "part", F.explode(F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: F.xxhash64("group", F.least("own", k), F.greatest("own", k))))
     )
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.select("part", "__n_id", "t").repartition(n, "part").sortWithinPartitions("part", "__n_id")
 
     def run(batches):
+        def solve(ids: list[int], held: list[bytes]):
+            codes = np.frombuffer(b"".join(fingerprint_batch(held, shingle, WIDE)), dtype=np.uint8).reshape(-1, WIDE // 8)
+            found = verified_links(codes, held, radius, shingle, least)
+            if found:
+                src, dst = ([ids[x[k]] for x in found] for k in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
+
+        at, ids, held = None, [], []
         for batch in batches:
-            near = []
-            last_a = set_a = None
-            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if a != last_a:
-                    last_a, set_a = a, _sets(a, shingle)
-                set_b = _sets(b, shingle)
-                common = len(np.intersect1d(set_a, set_b, assume_unique=True))
-                union = len(set_a) + len(set_b) - common
-                near.append(common >= least * union)  # two empty sets are alike
-            keep = pa.array(np.flatnonzero(near))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep)], ["src", "dst"])
+            for part, i, t in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+                if part != at:
+                    if len(ids) > 1:
+                        yield from solve(ids, held)
+                    at, ids, held = part, [], []
+                ids.append(i)
+                held.append(t)
+        if len(ids) > 1:
+            yield from solve(ids, held)
 
-    return both.select("src", "dst", "a", "b").mapInArrow(run, "src long, dst long")
+    return dealt.mapInArrow(run, "src long, dst long").union(same)
 
 
 def deduplicate(
@@ -314,8 +378,9 @@ def deduplicate(
     """``docs`` with the document of the smallest id of each near-duplicate group.
 
     Fingerprints have 128 bits.  Two texts with a Jaccard similarity of ``least``
-    differ in about 15 % of them; links may differ in ``slack`` more and are then
-    verified on the shingle sets of the whole texts.  The index has ``tables``
+    differ in about 15 % of them; links may differ in ``slack`` more.  What the
+    index finds are candidates: all pairs inside their components are verified on
+    the shingle sets of the whole texts.  The index has ``tables``
     sampled masks, each as wide as the logarithm of the number of different
     fingerprints and two bits more, so a node holds few unrelated texts at any size.
     """
@@ -327,7 +392,7 @@ def deduplicate(
     width = min(48, max(12, int(np.ceil(np.log2(max(n, 2)))) + 1))
     found = search(distinct, sampled_masks(WIDE, width, tables), WIDE, radius)
     same = codes.join(distinct.withColumnRenamed("id", "rep"), "code").filter("id <> rep").select(F.col("rep").alias("src"), F.col("id").alias("dst"))
-    links = similar(found.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).union(same), docs, doc_id, text, shingle, least)
+    links = similar(found.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).union(same), docs, doc_id, text, shingle, least, radius)
     drop = connected_components(links).filter("node <> component").select(F.col("node").alias("__n_drop"))
     kept = docs.join(drop, F.col(doc_id) == F.col("__n_drop"), "left_anti")
     return kept.filter(F.col(doc_id).isNotNull()).dropDuplicates([doc_id]).union(kept.filter(F.col(doc_id).isNull()))

@@ -142,6 +142,21 @@ def test_near_dedup_keeps_one_of_each_group(spark, docs, rows):
     assert again.columns == twice.columns and again.count() == len(kept)
 
 
+@pytest.mark.parametrize("rows_in_chunk", [256, 2])
+def test_near_dedup_finds_links_behind_rejected_ones(spark, monkeypatch, rows_in_chunk):
+    rng = random.Random(12)
+    shared = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+    own = lambda n: [f"v{rng.randrange(10**6)}" for _ in range(n)]
+    loose = " ".join(shared + own(100))
+    tail = own(100)
+    texts = [loose, " ".join(shared + tail), " ".join(shared + tail[:-10] + own(10)), " ".join(shared + own(100))]
+    df = spark.createDataFrame(list(enumerate(texts, 1)), "doc_id long, text string")
+    # a node gives every member's link to the first one only, which does not hold
+    monkeypatch.setattr(simhash, "search", lambda *_: spark.createDataFrame([(2, 1), (3, 1), (4, 1)], "src long, dst long"))
+    monkeypatch.setattr(simhash, "GROUP_ROWS", rows_in_chunk, raising=False)
+    assert {r.doc_id for r in simhash.deduplicate(df).collect()} == {1, 2, 4}
+
+
 def test_spans_match_brute_force(spark, docs, rows):
     rng = random.Random(9)
     passage = prose(rng, 70)

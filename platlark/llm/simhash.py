@@ -123,6 +123,11 @@ def sampled_masks(bits: int, width: int, count: int, seed: int = 7) -> list[int]
     return [sum(1 << int(b) for b in rng.permutation(bits)[:width]) for _ in range(count)]
 
 
+def widest(agree: float, count: int, recall: float, most: int = 48) -> int:
+    """The widest masks with which a link whose bits agree with chance ``agree`` is found with chance ``recall``."""
+    return max([w for w in range(1, most + 1) if 1 - (1 - agree**w) ** count >= recall], default=1)
+
+
 def gray_rank(codes: np.ndarray) -> np.ndarray:
     """Position of each code (rows of big-endian bytes) in the reflected Gray order, as bytes."""
     flat = np.unpackbits(codes, axis=1)
@@ -374,6 +379,7 @@ def deduplicate(
     least: float = 0.8,
     tables: int = 32,
     slack: float = 0.12,
+    recall: float = 0.95,
 ) -> DataFrame:
     """``docs`` with the document of the smallest id of each near-duplicate group.
 
@@ -381,15 +387,17 @@ def deduplicate(
     differ in about 15 % of them; links may differ in ``slack`` more.  What the
     index finds are candidates: all pairs inside their components are verified on
     the shingle sets of the whole texts.  The index has ``tables``
-    sampled masks, each as wide as the logarithm of the number of different
-    fingerprints and two bits more, so a node holds few unrelated texts at any size.
+    sampled masks.  They widen with the logarithm of the number of different
+    fingerprints only as far as a link of similarity ``least`` is still found with
+    chance ``recall``; beyond that nodes grow and full ones are cut into chunks.
     """
     codes = cut(fingerprints(docs.filter(F.col(doc_id).isNotNull()), doc_id, text, shingle, WIDE))
     distinct = cut(codes.groupBy("code").agg(F.min("id").alias("id")))
     n = distinct.count()
     cosine = 2 * least / (1 + least)
-    radius = int(WIDE * (np.arccos(cosine) / np.pi + slack))
-    width = min(48, max(12, int(np.ceil(np.log2(max(n, 2)))) + 1))
+    apart = np.arccos(cosine) / np.pi
+    radius = int(WIDE * (apart + slack))
+    width = min(widest(1 - apart, tables, recall), max(12, int(np.ceil(np.log2(max(n, 2)))) + 1))
     found = search(distinct, sampled_masks(WIDE, width, tables), WIDE, radius)
     same = codes.join(distinct.withColumnRenamed("id", "rep"), "code").filter("id <> rep").select(F.col("rep").alias("src"), F.col("id").alias("dst"))
     links = similar(found.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).union(same), docs, doc_id, text, shingle, least, radius)

@@ -157,6 +157,23 @@ def test_near_dedup_finds_links_behind_rejected_ones(spark, monkeypatch, rows_in
     assert {r.doc_id for r in simhash.deduplicate(df).collect()} == {1, 2, 4}
 
 
+def test_near_dedup_recall_does_not_fall_with_size(spark, monkeypatch):
+    used = []
+
+    def search(codes, masks, bits, radius):
+        used.append(masks)
+        return spark.createDataFrame([], "src long, dst long")
+
+    monkeypatch.setattr(simhash, "search", search)
+    df = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t "), F.hex(F.xxhash64("id"))).alias("text"))
+    for n in (100, 20_000):
+        simhash.deduplicate(df.filter(F.col("doc_id") < n)).count()
+        agree = 1 - np.arccos(2 * 0.8 / 1.8) / np.pi
+        width = used[-1][0].bit_count()
+        assert 1 - (1 - agree**width) ** len(used[-1]) >= 0.95
+    assert simhash.widest(agree, 32, 0.95) == 14
+
+
 def test_spans_match_brute_force(spark, docs, rows):
     rng = random.Random(9)
     passage = prose(rng, 70)

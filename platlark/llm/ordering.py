@@ -5,10 +5,11 @@ sequences of ``length`` ids; the last of a scan task is padded with the end id.
 Sequences are staged once, which fixes their numbers 0..N-1.  A balanced Feistel
 network over the smallest even number of bits that holds N, walked along its cycle
 until it falls below N, is a permutation of 0..N-1: the slot of each sequence, found
-without any global sort or table.  Slots are dealt out by ranges, and each range
-writes shards of ``per_shard`` records of one fixed stride (two bytes an id), so
-slot s is in shard s // per_shard at byte (s % per_shard) * stride, and a reader can
-start anywhere.
+without any global sort or table.  Slots are dealt out by ranges, whose bounds follow
+from N, and each range writes shards of ``per_shard`` records of one fixed stride (two
+bytes an id), so slot s is in shard s // per_shard at byte (s % per_shard) * stride,
+and a reader can start anywhere.  Sequences of one shard that a task meets close
+together travel as one compressed bundle.
 
 A shard is one value of Spark's text writer, so its file ends in one newline byte
 after the last record.
@@ -17,6 +18,7 @@ Defined results
 * null text is the empty text: its end id alone.
 * rows repeated under one id are tokenised as often as they occur; null ids are
   left out of ``doc_ids`` but their tokens are kept.
+* a tokenizer that gives an id of more than two bytes raises an error.
 * very long texts span sequences; extra columns are ignored; an empty table gives no
   sequences and an empty result.
 """
@@ -40,7 +42,8 @@ from platlark.llm import tokens
 class OrderParams:
     length: int = 2048
     end_id: int = 0
-    per_shard: int = 512
+    per_shard: int = 4096
+    bundle: int = 2000
     key: int = 0x5EED
     rounds: int = 6
 
@@ -102,6 +105,8 @@ def sequences(docs: DataFrame, doc_id: str, text: str, tokenizer: str, params: O
             id_type, rows = b.column(0).type, []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 ids = np.append(np.frombuffer(encode(t), dtype="<u4"), np.uint32(params.end_id))
+                if ids.max() > 0xFFFF:
+                    raise ValueError(f"id {ids.max()} of document {i} does not fit into two bytes")
                 held.append(ids)
                 owners.append((i, len(ids)))
                 count += len(ids)
@@ -125,52 +130,80 @@ def sequences(docs: DataFrame, doc_id: str, text: str, tokenizer: str, params: O
     return docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t")).mapInArrow(run, schema)
 
 
-def numbered(seqs: DataFrame, params: OrderParams) -> tuple[DataFrame, int]:
-    """``seqs`` with sequence_id, slot and shard, their ids compressed for the shuffle; how many there are."""
+def first_numbers(seqs: DataFrame) -> tuple[dict[int, int], int]:
+    """The number of each scan task's first sequence; how many sequences there are."""
     counts = dict(seqs.groupBy("task").count().collect())  # one row for each scan task
     first, total = {}, 0
     for task in sorted(counts):
         first[task], total = total, total + counts[task]
+    return first, total
+
+
+def _places(b: pa.RecordBatch, first: dict[int, int], total: int, params: OrderParams) -> tuple[np.ndarray, np.ndarray]:
+    """(sequence_id, slot) of the rows of a batch."""
+    task, local = b.column("task").to_numpy(), b.column("local").to_numpy()
+    index = local + np.array([first[t] for t in task.tolist()], dtype=np.int64)
+    return index, permute(index, total, params.key, params.rounds)
+
+
+def numbered(seqs: DataFrame, first: dict[int, int], total: int, params: OrderParams) -> DataFrame:
+    """``seqs`` with sequence_id, slot and shard."""
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in seqs.schema.fields)
 
     def run(batches):
-        pack = zstandard.ZstdCompressor(level=3).compress
-        for b in (x.slice(i, 500) for x in batches for i in range(0, x.num_rows, 500)):
-            if "data" in b.schema.names:
-                packed = pa.array([pack(x) for x in b.column("data").to_pylist()], pa.binary())
-                b = b.set_column(b.schema.get_field_index("data"), "data", packed)
-            task, local = b.column("task").to_numpy(), b.column("local").to_numpy()
-            index = local + np.array([first[t] for t in task], dtype=np.int64)
-            slot = permute(index, total, params.key, params.rounds)
+        for b in batches:
+            index, slot = _places(b, first, total, params)
             t = pa.Table.from_batches([b]).append_column("sequence_id", pa.array(index)).append_column("slot", pa.array(slot))
             yield from t.append_column("shard", pa.array(slot // params.per_shard)).combine_chunks().to_batches()
 
-    return seqs.mapInArrow(run, f"{fields}, sequence_id long, slot long, shard long"), total
+    return seqs.mapInArrow(run, f"{fields}, sequence_id long, slot long, shard long")
 
 
-def write_shards(seqs: DataFrame, path: str, params: OrderParams) -> None:
+def write_shards(seqs: DataFrame, first: dict[int, int], total: int, path: str, params: OrderParams) -> None:
     """Fixed-stride shard files under ``path``/shard=K/."""
+    shards = -(-total // params.per_shard)
+    n = int(seqs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def run(batches):
+    def bundles(batches):
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for b in (x.slice(i, params.bundle) for x in batches for i in range(0, x.num_rows, params.bundle)):
+            slot = _places(b, first, total, params)[1]
+            data = b.column("data")
+            order = np.argsort(slot)
+            shard = slot[order] // params.per_shard
+            cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(order)]
+            runs = [order[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)] if len(order) else []
+            at = [slot[r].tobytes() for r in runs]
+            z = [pack(b"".join(data.take(pa.array(r)).to_pylist())) for r in runs]
+            own = [int(slot[r[0]]) // params.per_shard for r in runs]
+            part = [k * n // shards for k in own]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(part, pa.int32()), pa.array(own, pa.int64()), pa.array(at, pa.binary()), pa.array(z, pa.binary())], ["part", "shard", "slots", "z"]
+            )
+
+    def files(batches):
         unpack = zstandard.ZstdDecompressor().decompress
-        held, at = [], None
+        held, at = bytearray(), None
 
         def done():
-            return pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary()), pa.array([at], pa.int64())], ["value", "shard"])
+            return pa.RecordBatch.from_arrays([pa.array([bytes(held)], pa.binary()), pa.array([at], pa.int64())], ["value", "shard"])
 
         for b in batches:
-            for shard, data in zip(b.column("shard").to_pylist(), b.column("data").to_pylist(), strict=True):
-                if shard != at and held:
-                    yield done()
-                    held = []
-                at = shard
-                held.append(unpack(data))
-        if held:
+            for shard, slots, z in zip(*(b.column(k).to_pylist() for k in ("shard", "slots", "z")), strict=True):
+                if shard != at:
+                    if at is not None:
+                        yield done()
+                    at = shard
+                    held = bytearray(params.stride * min(params.per_shard, total - shard * params.per_shard))
+                data = memoryview(unpack(z))
+                for k, slot in enumerate((np.frombuffer(slots, np.int64) - shard * params.per_shard).tolist()):
+                    held[slot * params.stride : (slot + 1) * params.stride] = data[k * params.stride : (k + 1) * params.stride]
+        if at is not None:
             yield done()
 
-    n = int(seqs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = seqs.select("shard", "slot", "data").repartitionByRange(n, "shard").sortWithinPartitions("shard", "slot")
-    out = dealt.mapInArrow(run, "value binary, shard long").select(F.col("value").cast("string"), "shard")
+    bundled = seqs.select("task", "local", "data").mapInArrow(bundles, "part int, shard long, slots binary, z binary")
+    dealt = bundled.repartitionById(n, "part").drop("part").sortWithinPartitions("shard")
+    out = dealt.mapInArrow(files, "value binary, shard long").select(F.col("value").cast("string"), "shard")
     out.write.partitionBy("shard").text(path)
 
 
@@ -202,8 +235,9 @@ def materialise(
 ) -> DataFrame:
     """Writes the shards under ``path``; returns one row per sequence, without its ids."""
     seqs = staged(sequences(docs, doc_id, text, tokenizer or tokens.default_path(), params), "sequences", "zstd")
-    write_shards(numbered(seqs, params)[0], path, params)
-    return numbered(seqs.drop("data"), params)[0].select("sequence_id", "slot", "shard", "n_tokens", "doc_ids", "ids_crc32")
+    first, total = first_numbers(seqs)
+    write_shards(seqs, first, total, path, params)
+    return numbered(seqs.drop("data"), first, total, params).select("sequence_id", "slot", "shard", "n_tokens", "doc_ids", "ids_crc32")
 
 
 def round_trip(docs: DataFrame, doc_id="doc_id", text="text", tokenizer=None, params: OrderParams = OrderParams()) -> DataFrame:

@@ -9,22 +9,25 @@ fingerprints are sorted by Gray rank, equal leading 16-bit patterns become inner
 nodes, and a search walks down with the differences accumulated so far, leaving
 out whole groups once they exceed the radius.
 
-Upper nodes with more than ``NODE_ROWS`` fingerprints are cut into chunks, and
-every pair of chunks is searched in a task of its own, so nothing is left out and
-no task holds an unbounded group.  A node gives only the links of a spanning
-forest, never all pairs.
+An upper node with more than ``NODE_ROWS`` fingerprints is refined: masks that
+cover the bits its own mask leaves open cut it into smaller nodes, again without
+losing a pair (``refinements``).  Fingerprints are distinct, so after three levels of
+64-bit codes a node has 256 rows at most, and each row is copied a constant number of
+times.  A node gives only the links of a spanning forest, never all pairs.
 
 Defined results
 * null text is the empty text; texts without words have the fingerprint zero and
   link like any other.
 * fewer words than a shingle: the whole sequence is the one shingle.
-* rows repeated under one id count once; rows with a null id have a fingerprint
-  and the component of that fingerprint's other rows, else null.
+* repeated rows each have their row; rows with a null id link like any other but
+  never name a component: alone, theirs is null.
+* ids may be of any type that can be ordered.
 * empty tables give empty results; extra columns are never touched.
 """
 
 from __future__ import annotations
 
+import functools
 import itertools
 from collections.abc import Iterator
 from itertools import repeat
@@ -35,6 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from platlark.functions.shared import cut
+from platlark.llm.joins import spread_join
 from platlark.operators.graph import connected_components
 
 NODE_ROWS = 2048
@@ -117,15 +121,22 @@ def covering_masks(bits: int, radius: int, blocks: int = 4) -> list[int]:
     return [sum(m) for m in itertools.combinations(block, blocks - radius)]
 
 
-def sampled_masks(bits: int, width: int, count: int, seed: int = 7) -> list[int]:
-    """``count`` masks of ``width`` bits each, drawn with a fixed seed."""
-    rng = np.random.default_rng(seed)
-    return [sum(1 << int(b) for b in rng.permutation(bits)[:width]) for _ in range(count)]
+def refinements(bits: int, radius: int, blocks: int = 4, open_bits: int = 8) -> list[list[tuple[int, int]]]:
+    """Levels of (number of the mask above, mask) until a mask leaves at most ``open_bits`` bits open.
 
-
-def widest(agree: float, count: int, recall: float, most: int = 48) -> int:
-    """The widest masks with which a link whose bits agree with chance ``agree`` is found with chance ``recall``."""
-    return max([w for w in range(1, most + 1) if 1 - (1 - agree**w) ** count >= recall], default=1)
+    Codes that agree on a mask and differ in at most ``radius`` bits agree on one of
+    the masks below it, which add all but ``radius`` blocks of its open bits.
+    """
+    levels = [[(0, m) for m in covering_masks(bits, radius, blocks)]]
+    while bits - levels[-1][0][1].bit_count() > open_bits:
+        below = []
+        for k, (_, mask) in enumerate(levels[-1]):
+            rest = [1 << b for b in reversed(range(bits)) if not mask >> b & 1]
+            edge = [len(rest) * i // blocks for i in range(blocks + 1)]
+            block = [sum(rest[edge[i] : edge[i + 1]]) for i in range(blocks)]
+            below += [(k, mask | sum(m)) for m in itertools.combinations(block, blocks - radius)]
+        levels.append(below)
+    return levels
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:
@@ -201,36 +212,31 @@ def node_links(codes: np.ndarray, radius: int, block: int = 256) -> np.ndarray:
     return order[found]
 
 
-def search(codes: DataFrame, masks: list[int], bits: int, radius: int) -> DataFrame:
-    """Links (src, dst) between rows of ``codes`` (id, code) within ``radius``, found through the index."""
+def search(codes: DataFrame, bits: int, radius: int) -> DataFrame:
+    """Links (src, dst) between rows of ``codes`` (id, code; codes distinct) within ``radius``, found through the index."""
     lanes = bits // 64
     signed = lambda x: x - (1 << 64) if x >> 63 else x
-    parts = [[signed((m >> (64 * (lanes - 1 - k))) & ((1 << 64) - 1)) for k in range(lanes)] for m in masks]
-    table = F.array(*[F.struct(F.lit(i).alias("i"), *[F.lit(x).cast("long").alias(f"m{k}") for k, x in enumerate(p)]) for i, p in enumerate(parts)])
     lane = lambda k: F.conv(F.hex(F.substring("code", 8 * k + 1, 8)), 16, -10).cast("long")
-    rows = codes.select("id", "code", *[lane(k).alias(f"c{k}") for k in range(lanes)])
-    rows = rows.select("*", F.explode(table).alias("m"))
-    key: Column = F.xxhash64("m.i", *[F.col(f"c{k}").bitwiseAND(F.col(f"m.m{k}")) for k in range(lanes)])
-    rows = rows.select("id", "code", key.alias("node"))
-    size = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
-    rows = rows.join(size, "node")
-    # a chunk of an overfull node meets every other chunk in a node of the two
-    chunks = F.ceil(F.col("n") / NODE_ROWS).cast("int")
-    own = F.pmod(F.xxhash64("code", "id"), F.col("chunks")).cast("int")
-    rows = rows.withColumn("chunks", chunks).withColumn("own", own)
-    rows = rows.withColumn(
-        "part",
-        F.explode(
-            F.when(
-                F.col("chunks") > 1,
-                F.transform(
-                    F.sequence(F.lit(0), F.col("chunks") - 1),
-                    lambda j: F.xxhash64("node", F.least("own", j), F.greatest("own", j)),
-                ),
-            ).otherwise(F.array("node"))
-        ),
-    )
-    rows = rows.select("part", "id", "code")
+    names = [f"c{k}" for k in range(lanes)]
+    rows = codes.select("id", "code", *[lane(k).alias(c) for k, c in enumerate(names)], F.lit(0).alias("above"))
+    levels, found = refinements(bits, radius), []
+    for level, masks in enumerate(levels):
+        below: dict[int, list] = {}
+        for i, (above, m) in enumerate(masks):
+            parts = [signed((m >> (64 * (lanes - 1 - k))) & ((1 << 64) - 1)) for k in range(lanes)]
+            below.setdefault(above, []).append(F.struct(F.lit(i).alias("i"), *[F.lit(x).cast("long").alias(f"m{k}") for k, x in enumerate(parts)]))
+        table = F.array(*[F.array(*below[k]) for k in sorted(below)])
+        rows = rows.select("id", "code", *names, F.explode(F.get(table, F.col("above"))).alias("m"))
+        key: Column = F.xxhash64(F.lit(level), "m.i", *[F.col(c).bitwiseAND(F.col(f"m.m{k}")) for k, c in enumerate(names)])
+        rows = rows.select("id", "code", *names, F.col("m.i").alias("above"), key.alias("part"))
+        size = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        over = cut(size.filter(F.col("n") > NODE_ROWS).select("part")) if level + 1 < len(levels) else None
+        if over is None or not over.head(1):
+            found.append(rows.join(size, "part").select("part", "id", "code"))
+            break
+        found.append(rows.join(size.filter(F.col("n") <= NODE_ROWS), "part").select("part", "id", "code"))
+        rows = cut(rows.join(over, "part", "left_semi").select("id", "code", *names, "above"))
+    rows = functools.reduce(DataFrame.union, found)
     n = int(codes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartition(n, "part").sortWithinPartitions("part", "code", "id")
     width = bits // 8
@@ -264,143 +270,11 @@ def search(codes: DataFrame, masks: list[int], bits: int, radius: int) -> DataFr
 def components(docs: DataFrame, doc_id="doc_id", text="text", shingle=3, bits=64, radius=2) -> DataFrame:
     """(id, code, component): every row's fingerprint and the smallest id reachable over links."""
     codes = cut(fingerprints(docs, doc_id, text, shingle, bits))
-    distinct = codes.groupBy("code").agg(F.min("id").alias("id"))
-    edges = search(distinct.filter("id is not null"), covering_masks(bits, radius), bits, radius)
-    found = connected_components(edges)
-    labels = distinct.join(found, distinct["id"] == found["node"], "left").select(
-        F.col("code").alias("of"), F.coalesce("component", "id").alias("component")
-    )
-    return codes.join(labels, codes["code"] == labels["of"]).select("id", "code", "component")
-
-
-WIDE = 128
-GROUP_ROWS = 256
-
-
-def _sets(text: bytes | None, size: int) -> np.ndarray:
-    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles(text or b"", size)), dtype=np.uint64))
-
-
-def _alike(a: np.ndarray, b: np.ndarray, least: float) -> bool:
-    common = len(np.intersect1d(a, b, assume_unique=True))
-    return common >= least * (len(a) + len(b) - common)  # two empty sets are alike
-
-
-def verified_links(codes: np.ndarray, texts: list[bytes], radius: int, shingle: int, least: float, block: int = 64) -> list[tuple[int, int]]:
-    """Links of verified similarity that span the components of *all* verified pairs within ``radius``.
-
-    A pair is left out only if verified links connect it already, so a rejected
-    pair never stands for another one.
-    """
-    m = len(codes)
-    lanes = np.ascontiguousarray(codes).view(np.uint64)
-    root, sets, links = np.arange(m), {}, []
-
-    def set_of(i: int) -> np.ndarray:
-        if i not in sets:
-            sets[i] = _sets(texts[i], shingle)
-        return sets[i]
-
-    for at in range(0, m, block):
-        q, j = (x.ravel() for x in np.meshgrid(np.arange(at, min(m, at + block)), np.arange(min(m, at + block)), indexing="ij"))
-        q, j = q[j < q], j[j < q]
-        apart = np.bitwise_count(lanes[q] ^ lanes[j]).sum(axis=1)
-        near = np.flatnonzero(apart <= radius)
-        near = near[np.argsort(apart[near], kind="stable")]
-        q, j = q[near], j[near]
-        while len(q):
-            open_ = root[q] != root[j]
-            q, j = q[open_], j[open_]
-            done = len(q)
-            for k, (x, y) in enumerate(zip(q.tolist(), j.tolist(), strict=True)):
-                if _alike(set_of(x), set_of(y), least):
-                    links.append((x, y))
-                    lo, hi = sorted((root[x], root[y]))
-                    root[root == hi] = lo
-                    done = k + 1
-                    break
-            q, j = q[done:], j[done:]
-    return links
-
-
-def similar(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, shingle: int, least: float, radius: int) -> DataFrame:
-    """Links (src, dst) of similarity ``least`` or more among the documents that ``pairs`` (src, dst) connect.
-
-    ``pairs`` are candidates that need not hold.  Inside each of their components
-    every pair of texts within ``radius`` is decided on the whole shingle sets.
-    Components of more than ``GROUP_ROWS`` texts are cut into chunks, and every two
-    chunks meet in a part of their own.
-    """
-    group = connected_components(pairs).select(F.col("node").alias("__n_id"), F.col("component").alias("group"))
-    texts = docs.select(F.col(doc_id).alias("__n_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t"))
-    texts = cut(texts.join(group, "__n_id").groupBy("__n_id").agg(F.min("t").alias("t"), F.first("group").alias("group")))
-    # equal texts are linked to their smallest id, which then stands for them
-    first = texts.groupBy("group", F.sha2("t", 256).alias("sha")).agg(F.min("__n_id").alias("rep"))
-    named = texts.withColumn("sha", F.sha2("t", 256))
-    same = named.drop("t").join(first, ["group", "sha"]).filter("__n_id <> rep").select(F.col("__n_id").alias("src"), F.col("rep").alias("dst"))
-    rows = named.join(first.select(F.col("rep").alias("__n_id")), "__n_id", "left_semi")
-    size = first.groupBy("group").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    rows = rows.join(size, "group").withColumn("chunks", F.ceil(F.col("n") / GROUP_ROWS).cast("int"))
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("__n_id"), F.col("chunks")).cast("int"))
-    rows = rows.withColumn(
-        "part", F.explode(F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: F.xxhash64("group", F.least("own", k), F.greatest("own", k))))
-    )
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.select("part", "__n_id", "t").repartition(n, "part").sortWithinPartitions("part", "__n_id")
-
-    def run(batches):
-        def solve(ids: list[int], held: list[bytes]):
-            codes = np.frombuffer(b"".join(fingerprint_batch(held, shingle, WIDE)), dtype=np.uint8).reshape(-1, WIDE // 8)
-            found = verified_links(codes, held, radius, shingle, least)
-            if found:
-                src, dst = ([ids[x[k]] for x in found] for k in (0, 1))
-                yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
-
-        at, ids, held = None, [], []
-        for batch in batches:
-            for part, i, t in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
-                if part != at:
-                    if len(ids) > 1:
-                        yield from solve(ids, held)
-                    at, ids, held = part, [], []
-                ids.append(i)
-                held.append(t)
-        if len(ids) > 1:
-            yield from solve(ids, held)
-
-    return dealt.mapInArrow(run, "src long, dst long").union(same)
-
-
-def deduplicate(
-    docs: DataFrame,
-    doc_id: str = "doc_id",
-    text: str = "text",
-    shingle: int = 5,
-    least: float = 0.8,
-    tables: int = 32,
-    slack: float = 0.12,
-    recall: float = 0.95,
-) -> DataFrame:
-    """``docs`` with the document of the smallest id of each near-duplicate group.
-
-    Fingerprints have 128 bits.  Two texts with a Jaccard similarity of ``least``
-    differ in about 15 % of them; links may differ in ``slack`` more.  What the
-    index finds are candidates: all pairs inside their components are verified on
-    the shingle sets of the whole texts.  The index has ``tables``
-    sampled masks.  They widen with the logarithm of the number of different
-    fingerprints only as far as a link of similarity ``least`` is still found with
-    chance ``recall``; beyond that nodes grow and full ones are cut into chunks.
-    """
-    codes = cut(fingerprints(docs.filter(F.col(doc_id).isNotNull()), doc_id, text, shingle, WIDE))
-    distinct = cut(codes.groupBy("code").agg(F.min("id").alias("id")))
-    n = distinct.count()
-    cosine = 2 * least / (1 + least)
-    apart = np.arccos(cosine) / np.pi
-    radius = int(WIDE * (apart + slack))
-    width = min(widest(1 - apart, tables, recall), max(12, int(np.ceil(np.log2(max(n, 2)))) + 1))
-    found = search(distinct, sampled_masks(WIDE, width, tables), WIDE, radius)
-    same = codes.join(distinct.withColumnRenamed("id", "rep"), "code").filter("id <> rep").select(F.col("rep").alias("src"), F.col("id").alias("dst"))
-    links = similar(found.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).union(same), docs, doc_id, text, shingle, least, radius)
-    drop = connected_components(links).filter("node <> component").select(F.col("node").alias("__n_drop"))
-    kept = docs.join(drop, F.col(doc_id) == F.col("__n_drop"), "left_anti")
-    return kept.filter(F.col(doc_id).isNotNull()).dropDuplicates([doc_id]).union(kept.filter(F.col(doc_id).isNull()))
+    distinct = codes.groupBy("code").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
+    rows = cut(distinct.withColumn("at", F.monotonically_increasing_id()))  # numbered, so that ids may be of any type
+    found = connected_components(search(rows.select(F.col("at").alias("id"), "code"), bits, radius))
+    placed = rows.join(found, rows["at"] == found["node"], "left").select("code", "id", "n", F.coalesce("component", "at").alias("group"))
+    placed = cut(placed)
+    least = placed.groupBy("group").agg(F.min("id").alias("component"))
+    labels = cut(placed.join(least, "group").select("code", "component", "n"))
+    return spread_join(codes, labels, ["code"], "n").select("id", "code", "component")

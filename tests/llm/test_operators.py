@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from platlark.llm import imatch, mixing, native_quality as Q, ordering, packing, simhash, spans, templates, url_rules, warc
+from platlark.llm import imatch, mixing, native_quality as Q, neardup, ordering, packing, simhash, spans, templates, url_rules, warc
 
 WORDS = [a + b for a in ("ba", "do", "ki", "lu", "mer", "no") for b in ("ra", "ten", "sil", "vo", "quin")]
 
@@ -115,7 +115,7 @@ def test_overfull_nodes_lose_no_link(spark, monkeypatch):
     monkeypatch.setattr(simhash, "NODE_ROWS", 8)
     codes = [(i, (i * 3).to_bytes(8, "big")) for i in range(60)]
     df = spark.createDataFrame(codes, "id long, code binary")
-    found = {tuple(sorted((r.src, r.dst))) for r in simhash.search(df, simhash.covering_masks(64, 2), 64, 2).collect()}
+    found = {tuple(sorted((r.src, r.dst))) for r in simhash.search(df, 64, 2).collect()}
     label = {i: i for i, _ in codes}
     mine = dict(label)
     merge = lambda m, a, b: {k: m[a] if v == m[b] else v for k, v in m.items()}
@@ -129,7 +129,7 @@ def test_overfull_nodes_lose_no_link(spark, monkeypatch):
 
 
 def test_near_dedup_keeps_one_of_each_group(spark, docs, rows):
-    kept = {r.doc_id for r in simhash.deduplicate(docs).collect()}
+    kept = {r.doc_id for r in neardup.deduplicate(docs).collect()}
     sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := [x for x in words(t) if x]) else set() for i, t, _ in rows}
     root = {i: i for i in sets}
     for a, b in itertools.combinations(sorted(sets), 2):
@@ -138,12 +138,11 @@ def test_near_dedup_keeps_one_of_each_group(spark, docs, rows):
             root = {k: min(x, y) if v in (x, y) else v for k, v in root.items()}
     assert kept == {i for i, r in root.items() if i == r}
     twice = docs.union(docs).withColumn("component", F.lit("mine"))
-    again = simhash.deduplicate(twice)
+    again = neardup.deduplicate(twice)
     assert again.columns == twice.columns and again.count() == len(kept)
 
 
-@pytest.mark.parametrize("rows_in_chunk", [256, 2])
-def test_near_dedup_finds_links_behind_rejected_ones(spark, monkeypatch, rows_in_chunk):
+def test_near_dedup_finds_links_behind_rejected_ones(spark, monkeypatch):
     rng = random.Random(12)
     shared = [f"w{rng.randrange(10**6)}" for _ in range(400)]
     own = lambda n: [f"v{rng.randrange(10**6)}" for _ in range(n)]
@@ -151,27 +150,94 @@ def test_near_dedup_finds_links_behind_rejected_ones(spark, monkeypatch, rows_in
     tail = own(100)
     texts = [loose, " ".join(shared + tail), " ".join(shared + tail[:-10] + own(10)), " ".join(shared + own(100))]
     df = spark.createDataFrame(list(enumerate(texts, 1)), "doc_id long, text string")
-    # a node gives every member's link to the first one only, which does not hold
-    monkeypatch.setattr(simhash, "search", lambda *_: spark.createDataFrame([(2, 1), (3, 1), (4, 1)], "src long, dst long"))
-    monkeypatch.setattr(simhash, "GROUP_ROWS", rows_in_chunk, raising=False)
-    assert {r.doc_id for r in simhash.deduplicate(df).collect()} == {1, 2, 4}
-
-
-def test_near_dedup_recall_does_not_fall_with_size(spark, monkeypatch):
-    used = []
-
-    def search(codes, masks, bits, radius):
-        used.append(masks)
-        return spark.createDataFrame([], "src long, dst long")
-
-    monkeypatch.setattr(simhash, "search", search)
-    df = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t "), F.hex(F.xxhash64("id"))).alias("text"))
-    for n in (100, 20_000):
-        simhash.deduplicate(df.filter(F.col("doc_id") < n)).count()
-        agree = 1 - np.arccos(2 * 0.8 / 1.8) / np.pi
-        width = used[-1][0].bit_count()
-        assert 1 - (1 - agree**width) ** len(used[-1]) >= 0.95
-    assert simhash.widest(agree, 32, 0.95) == 14
+    monkeypatch.setattr(neardup, "NEAREST", 1)
+    real = neardup.candidates
+
+    def rejected_are_nearest(nodes, *rest):  # each node's nearest candidate is one that does not hold
+        n = {r.id: r.node for r in nodes.collect()}
+        held = {tuple(sorted((n[a], n[b]))): d for a, b, d in ((1, 2, 0), (1, 3, 0), (1, 4, 0), (2, 3, 5), (3, 4, 6))}
+        assert real(nodes, *rest).columns == ["src", "dst", "apart"]
+        return spark.createDataFrame([(*k, d) for k, d in held.items()], "src long, dst long, apart int")
+
+    monkeypatch.setattr(neardup, "candidates", rejected_are_nearest)
+    assert {r.doc_id for r in neardup.deduplicate(df).collect()} == {1, 2, 4}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_nearest_forest_spans_every_threshold(seed):
+    rng = np.random.default_rng(seed)
+    m = 60
+    q, j = (x.ravel() for x in np.meshgrid(np.arange(m), np.arange(m)))
+    q, j = q[q < j], j[q < j]
+    some = rng.random(len(q)) < 0.08
+    q, j = q[some], j[some]
+    apart = rng.integers(0, 6, len(q))
+
+    def parts(edges):
+        label = np.arange(m)
+        for a, b in edges:
+            label[label == label[b]] = label[a]
+        return len(set(label))
+
+    keep = neardup.nearest_forest(m, q, j, apart)
+    for most in range(6):
+        whole, forest = apart <= most, keep[apart[keep] <= most]
+        assert parts(zip(q[whole], j[whole], strict=True)) == parts(zip(q[forest], j[forest], strict=True)) == m - len(forest)
+
+
+def test_near_dedup_index_against_all_pairs(spark):
+    """Measured recall of whole groups: 300 texts, each with a copy of similarity 0.8 to 0.9, at a width of 16 bits."""
+    rng = random.Random(21)
+    rows, at = [], 0
+    for _ in range(300):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+        k = rng.randrange(15, 30)
+        start = rng.randrange(0, 300 - k)
+        rows += [(at, " ".join(w)), (at + 1, " ".join(w[:start] + [f"x{rng.randrange(10**6)}" for _ in range(k)] + w[start + k :]))]
+        at += 2
+    df = spark.createDataFrame(rows, "node long, t string")
+    codes = df.select("node", F.col("t").cast("binary").alias("t")).toArrow()
+    code = simhash.fingerprint_batch(codes.column(1).to_pylist(), 5, neardup.BITS)
+    nodes = spark.createDataFrame(list(zip(codes.column(0).to_pylist(), map(bytearray, code), strict=True)), "node long, code binary")
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(296)} for i, t in rows}
+    true = {(i, i + 1) for i in range(0, at, 2) if len(sets[i] & sets[i + 1]) >= 0.8 * len(sets[i] | sets[i + 1])}
+    for width in (10, 16):
+        tables = neardup.tables_for(width, 0.8, 0.95)
+        found = {(r.src, r.dst) for r in neardup.candidates(nodes, 34, width, tables).collect()}
+        assert len(true & found) >= 0.93 * len(true) and len(found) < 3 * len(true)
+
+
+def test_near_dedup_nodes_and_tables_follow_the_size():
+    for n in (10, 10**4, 10**6, 10**9, 10**11):
+        width = neardup.width_for(n)
+        assert n / 2**width <= neardup.NODE_MEAN
+        assert 1 - (1 - neardup.agreement(0.8) ** width) ** neardup.tables_for(width, 0.8, 0.95) >= 0.95
+
+
+def test_near_dedup_cuts_overfull_nodes(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "NODE_ROWS", 24)
+    monkeypatch.setattr(neardup, "LAP", 8)
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(300)]
+    texts = []
+    for _ in range(150):  # one group of near copies that are all different
+        w = list(base)
+        w[rng.randrange(300)] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(w))
+    other = [" ".join(f"y{rng.randrange(10**6)}" for _ in range(100)) for _ in range(30)]
+    df = spark.createDataFrame(list(enumerate(texts + other)), "doc_id long, text string")
+    assert {r.doc_id for r in neardup.deduplicate(df).collect()} == {0, *range(150, 180)}
+
+
+def test_near_dedup_defined_cases(spark):
+    long = " ".join(f"w{k}" for k in range(60))
+    rows = [("b", long), ("a", long), ("a", long), ("a", "another text " * 9), (None, long), (None, long), ("c", None), ("d", ""), ("e", " \n")]
+    df = spark.createDataFrame(rows, "doc_id string, text string").withColumn("sha", F.lit(1)).withColumn("code", F.lit("x")).withColumn("n", F.lit(2))
+    got = neardup.deduplicate(df)
+    assert got.columns == df.columns
+    out = sorted((r.doc_id or "", (r.text or "")[:7]) for r in got.collect())
+    assert out == [("", "w0 w1 w"), ("", "w0 w1 w"), ("a", "another"), ("a", "w0 w1 w"), ("c", "")]
+    assert neardup.deduplicate(df.limit(0)).count() == 0
 
 
 def test_spans_match_brute_force(spark, docs, rows):

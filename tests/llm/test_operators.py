@@ -322,12 +322,47 @@ def test_tokens_are_the_tokenizers_own():
         assert np.frombuffer(e.encode(t), dtype="<u4").tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids
 
 
-def test_genetic_search_never_loses_items():
+def triplets(rng, bins, cap=2048):
+    """Lengths that fill ``bins`` bins exactly, three to a bin: best fit needs more."""
+    out = []
+    for _ in range(bins):
+        a = rng.randrange(cap * 38 // 100, cap * 49 // 100)
+        b = rng.randrange(cap // 4, (cap - a) // 2)
+        out += [a, b, cap - a - b]
+    rng.shuffle(out)
+    return out
+
+
+def test_generations_lose_no_item_and_no_bin():
     rng = random.Random(3)
-    lengths = [rng.randrange(1, 1500) for _ in range(400)]
-    bins = packing.evolve(lengths, packing.PackParams(), 5)
-    assert sorted(i for b in bins for i in b) == list(range(400)) and all(sum(lengths[i] for i in b) <= 2048 for b in bins)
-    assert len(bins) <= len(packing.best_fit(list(range(400)), lengths, 2048, []))
+    params = packing.PackParams(generations=3, population=3)
+    for lengths in ([rng.randrange(1, 1500) for _ in range(400)], triplets(rng, 30), [2047] * 9, [5]):
+        first = packing.best_fit(list(range(len(lengths))), lengths, 2048, [])
+        for bins in packing.settle([first], lengths, params, rng):
+            assert sorted(i for b in bins for i in b) == list(range(len(lengths)))
+            assert all(sum(lengths[i] for i in b) <= 2048 for b in bins)
+            assert packing._unpack_bins(packing._pack_bins(bins, len(lengths))) is not None
+        assert len(packing.settle([first], lengths, params, rng)[0]) <= len(first)
+
+
+def test_islands_beat_best_fit_where_the_bound_is_not_met(spark):
+    rng = random.Random(8)
+    problems = [(k, triplets(rng, 20)) for k in range(3)] + [(3, [1024] * 8)]
+    df = spark.createDataFrame(problems, "problem int, lengths array<int>")
+    params = packing.PackParams(islands=3, population=8, epochs=4, generations=12)
+    found = {r.problem: packing._unpack_bins(r.assigned) for r in packing.search(df, params).collect()}
+    fitted = sum(len(packing.best_fit(list(range(len(x))), x, 2048, [])) for _, x in problems)
+    for k, lengths in problems:
+        assert sorted(i for b in found[k] for i in b) == list(range(len(lengths))) and all(packing.fill(b, lengths) <= 2048 for b in found[k])
+    assert sum(map(len, found.values())) < fitted and len(found[3]) == 4
+
+
+def test_packing_of_repeated_rows_and_clashing_columns(spark):
+    rows = [(None, "one two", 1), (None, "one two", 1), (3, None, 2), (3, None, 2), (3, "x " * 5000, 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, length int").withColumn("sequence_id", F.lit("x")).withColumn("piece", F.lit(None).cast("string"))
+    got = packing.pack_documents(df, params=packing.PackParams(problem=2)).collect()
+    assert Counter(r.doc_id for r in got if r.length < 10) == {None: 2, 3: 2}
+    assert sum(r.length for r in got if r.doc_id == 3) == 2 + next(r.start + r.length for r in got if r.doc_id == 3 and r.piece > 0 and r.start + r.length > 4000)
 
 
 def test_warc_round_trip(spark):

@@ -3,11 +3,12 @@
 Writing: a page's payload becomes an HTTP response in chunked transfer coding.
 Blocks longer than ``segment`` bytes are cut into a first record and continuation
 records that name the first (origin id), their number and, in the last, the total
-length.  Of records with equal payloads, the one with the smallest id is a
-response and the others are revisits that refer to it.
+length.  Records are named by the number of their row, so equal ids never meet; the
+row's own id is a header.  Of records with equal payloads, the one with the smallest
+id is a response and the others are revisits that refer to it.
 
-Reading: records are parsed by their declared lengths; continuations are grouped by
-origin id, put in the order of their segment numbers, and the block's total length
+Reading: each file is parsed once, by the declared lengths; continuations are grouped
+by origin id, put in the order of their segment numbers, and the block's total length
 is verified; HTTP headers are split off and the chunked framing is decoded; digests
 are verified.  A revisit takes its payload's length and digest from the record that
 it refers to.
@@ -19,8 +20,8 @@ what one reading task holds at a time.
 Defined results
 * null html is the empty payload; empty payloads are equal like any others when
   ``min_revisit`` is 0.
-* rows with one id and one payload are one record; a null id sorts first and gets
-  the record name ``null``.
+* every row is a record, whether its id is null, unique or repeated; null ids sort
+  last, and of rows with equal id and payload the first in the staged table responds.
 * very long payloads span many segments; extra columns are ignored; an empty table
   gives an empty archive and an empty result.
 * a wrong length, a missing segment, a bad chunk or a wrong digest raises an error.
@@ -32,14 +33,17 @@ import base64
 import gzip
 import hashlib
 from dataclasses import dataclass
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from platlark.functions.shared import fresh_path
+from platlark.functions.shared import fresh_path, staged
+from platlark.llm.joins import spread_join
 
 VERSION = b"WARC/1.1\r\n"
 DATE = "2024-01-01T00:00:00Z"
+PAGE = "X-Page-ID"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -48,7 +52,7 @@ class WarcParams:
     segment: int = 32_768
     chunk: int = 8_192
     min_revisit: int = 0
-    records_per_file: int = 400
+    records_per_file: int = 1000
 
 
 class WarcError(ValueError):
@@ -93,66 +97,63 @@ def record(headers: list[tuple[str, str]], block: bytes) -> bytes:
     return VERSION + lines.encode() + b"\r\n" + block + b"\r\n"
 
 
-def uri(name) -> str:
-    return f"<urn:page:{'null' if name is None else name}>"
+def uri(row) -> str:
+    return f"<urn:row:{row}>"
 
 
-def response_records(name, url: str | None, payload: bytes, sha: str, params: WarcParams) -> list[bytes]:
+def _own(row, page, url: str | None) -> list[tuple[str, str]]:
+    """Headers that every record of a row begins with, after its type."""
+    named = [(PAGE, quote(str(page), safe=""))] if page is not None else []
+    return [("WARC-Record-ID", uri(row)), ("WARC-Date", DATE), ("WARC-Target-URI", " ".join((url or "").split())), *named]
+
+
+def response_records(row, page, url: str | None, payload: bytes, sha: str, params: WarcParams) -> list[bytes]:
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
     block = http + encode_chunked(payload, params.chunk)
-    target = " ".join((url or "").split())
-    headers = [
-        ("WARC-Type", "response"), ("WARC-Record-ID", uri(name)), ("WARC-Date", DATE), ("WARC-Target-URI", target),
-        ("WARC-Payload-Digest", f"sha1:{sha}"), ("Content-Type", "application/http; msgtype=response"),
-    ]
+    own = [("WARC-Payload-Digest", f"sha1:{sha}"), ("Content-Type", "application/http; msgtype=response")]
+    headers = [("WARC-Type", "response"), *_own(row, page, url), *own]
     parts = [block[i : i + params.segment] for i in range(0, len(block), params.segment)]
     if len(parts) == 1:
         return [record(headers, block)]
     out = [record([*headers, ("WARC-Segment-Number", "1")], parts[0])]
     for k, part in enumerate(parts[1:], 2):
-        more = [
-            ("WARC-Type", "continuation"), ("WARC-Record-ID", uri(f"{name}:{k}")), ("WARC-Date", DATE), ("WARC-Target-URI", target),
-            ("WARC-Segment-Origin-ID", uri(name)), ("WARC-Segment-Number", str(k)),
-        ]
+        more = [("WARC-Type", "continuation"), *_own(f"{row}:{k}", page, url), ("WARC-Segment-Origin-ID", uri(row)), ("WARC-Segment-Number", str(k))]
         if k == len(parts):
             more.append(("WARC-Segment-Total-Length", str(len(block))))
         out.append(record(more, part))
     return out
 
 
-def revisit_record(name, url: str | None, refers, sha: str) -> bytes:
-    headers = [
-        ("WARC-Type", "revisit"), ("WARC-Record-ID", uri(name)), ("WARC-Date", DATE), ("WARC-Target-URI", " ".join((url or "").split())),
-        ("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", uri(refers)), ("WARC-Payload-Digest", f"sha1:{sha}"),
-    ]
-    return record(headers, b"")
+def revisit_record(row, page, url: str | None, refers, sha: str) -> bytes:
+    of = [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", uri(refers)), ("WARC-Payload-Digest", f"sha1:{sha}")]
+    return record([("WARC-Type", "revisit"), *_own(row, page, url), *of], b"")
 
 
 def write(pages: DataFrame, path: str, row_id="page_id", url="url", html="html", params: WarcParams = WarcParams()) -> None:
     """Writes the archive of ``pages`` to ``path``."""
     rows = pages.select(
-        F.col(row_id).alias("id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).cast("binary").alias("payload")
+        F.monotonically_increasing_id().alias("row"), F.col(row_id).alias("id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).cast("binary").alias("payload")
     )
-    sha = F.unhex(F.sha1("payload"))
-    first = rows.select(sha.alias("of"), "id").groupBy("of").agg(F.min("id").alias("first"))
-    rows = rows.withColumn("sha", sha)
-    rows = rows.join(first, F.col("sha") == F.col("of")).drop("of")
+    rows = staged(rows.withColumn("sha", F.unhex(F.sha1("payload"))).withColumn("size", F.length("payload")), "pages", "zstd")
+    keys = rows.select("row", "id", "sha", "size").filter(F.col("size") >= params.min_revisit)
+    order = F.struct(F.col("id").isNull(), F.col("id"), F.col("row").alias("row"))
+    first = keys.groupBy("sha").agg(F.min(order).alias("f"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    first = staged(first.select("sha", F.col("f.row").alias("refers"), "n"), "first")
+    again = spread_join(keys.select("row", "sha"), first, ["sha"], "n").filter(F.col("row") != F.col("refers"))
+    rows = rows.join(again.select("row", "refers"), "row", "left").select("row", "id", "url", "payload", "sha", "refers")
 
     def run(batches):
-        for b in batches:
-            out, seen = [], set()
-            for i, u, payload, first in zip(*(b.column(c).to_pylist() for c in ("id", "url", "payload", "first")), strict=True):
-                name = digest(payload)
-                if (i, name) in seen:
-                    continue
-                seen.add((i, name))
-                if len(payload) >= params.min_revisit and first != i:
-                    out.append(revisit_record(i, u, first, name))
+        for b in (x.slice(i, 200) for x in batches for i in range(0, x.num_rows, 200)):
+            out = []
+            for row, i, u, payload, sha, refers in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                name = base64.b32encode(sha).decode()
+                if refers is not None:
+                    out.append(revisit_record(row, i, u, refers, name))
                 else:
-                    out += response_records(i, u, payload, name, params)
+                    out += response_records(row, i, u, payload, name, params)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
 
-    text = rows.dropDuplicates(["sha", "id"]).mapInArrow(run, "value binary").select(F.col("value").cast("string"))
+    text = rows.mapInArrow(run, "value binary").select(F.col("value").cast("string"))
     text.write.option("lineSep", "\r\n").option("compression", "gzip").option("maxRecordsPerFile", params.records_per_file).text(path)
 
 
@@ -172,13 +173,26 @@ def parse(data: bytes):
         yield headers, block
 
 
-RECORD = "record_id string, kind string, url string, digest string, refers string, origin string, segment int, total long, block binary"
+RECORD = (
+    "record_id string, page string, kind string, url string, digest string, refers string, origin string, segment int, total long, "
+    "block binary, payload binary, payload_bytes long"
+)
+
 
+def body_of(name: str, block: bytes, sha: str | None) -> bytes:
+    """The payload of a whole response block, its framing decoded and its digest verified."""
+    head, _, body = block.partition(b"\r\n\r\n")
+    if b"transfer-encoding: chunked" in head.lower():
+        body = decode_chunked(body)
+    if sha is not None and sha != f"sha1:{digest(body)}":
+        raise WarcError(f"{name}: the payload's digest is not {sha}")
+    return body
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record of the archive."""
+
+def read_records(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
+    """One row per record of the archive; ``block`` holds segments only, ``payload`` (if asked for) that of whole responses."""
     names = [x.split()[0] for x in RECORD.split(", ")]
-    types = [pa.string()] * 6 + [pa.int32(), pa.int64(), pa.binary()]
+    types = [pa.string()] * 7 + [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64()]
 
     def batch(rows):
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
@@ -189,10 +203,13 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
             for data in b.column(0):
                 for h, block in parse(gzip.decompress(data.as_py())):
                     get = h.get
-                    total, segment = get("WARC-Segment-Total-Length"), get("WARC-Segment-Number")
+                    total, segment, sha = get("WARC-Segment-Total-Length"), get("WARC-Segment-Number"), get("WARC-Payload-Digest")
+                    name, kind, page = h["WARC-Record-ID"], h["WARC-Type"], get(PAGE)
+                    body = body_of(name, block, sha) if kind == "response" and segment is None else None
                     rows.append((
-                        h["WARC-Record-ID"], h["WARC-Type"], get("WARC-Target-URI"), get("WARC-Payload-Digest"), get("WARC-Refers-To"),
-                        get("WARC-Segment-Origin-ID"), segment and int(segment), total and int(total), block,
+                        name, page if page is None else unquote(page), kind, get("WARC-Target-URI"), sha, get("WARC-Refers-To"),
+                        get("WARC-Segment-Origin-ID"), segment and int(segment), total and int(total), block if segment else None,
+                        body if payloads else None, None if body is None else len(body),
                     ))
                     held += len(block)
                     if held > 4_000_000:
@@ -205,50 +222,46 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     return files.filter("length > 0").select("content").mapInArrow(run, RECORD)
 
 
-def reassemble(records: DataFrame) -> DataFrame:
-    """(record_id, url, digest, payload) of every response, its segments put together and verified."""
-    whole = records.filter("kind = 'response' and segment is null").select(
-        "record_id", "url", "digest", F.array(F.struct(F.lit(1).alias("segment"), F.lit(None).cast("long").alias("total"), "block")).alias("parts")
-    )
+def reassemble(records: DataFrame, payloads: bool = True) -> DataFrame:
+    """(record_id, page, url, digest, payload, payload_bytes) of every response, its segments put together and verified."""
+    names = ["record_id", "page", "url", "digest", "payload", "payload_bytes"]
+    whole = records.filter("kind = 'response' and segment is null").select(*names)
     cut = records.filter("kind = 'continuation' or (kind = 'response' and segment is not null)")
     key: Column = F.coalesce("origin", "record_id")
     joined = cut.groupBy(key.alias("record_id")).agg(
+        F.max("page").alias("page"),
         F.max("url").alias("url"),
         F.max("digest").alias("digest"),
         F.array_sort(F.collect_list(F.struct("segment", "total", "block"))).alias("parts"),
     )
 
     def run(batches):
-        for b in batches:
-            payloads = []
-            for name, sha, parts in zip(*(b.column(c).to_pylist() for c in ("record_id", "digest", "parts")), strict=True):
-                block = b"".join(p["block"] for p in parts)
-                if [p["segment"] for p in parts] != list(range(1, len(parts) + 1)):
-                    raise WarcError(f"{name}: segments {[p['segment'] for p in parts]}")
-                if len(parts) > 1 and parts[-1]["total"] != len(block):
-                    raise WarcError(f"{name}: {len(block)} bytes, {parts[-1]['total']} declared")
-                head, _, body = block.partition(b"\r\n\r\n")
-                if b"transfer-encoding: chunked" in head.lower():
-                    body = decode_chunked(body)
-                if sha is not None and sha != f"sha1:{digest(body)}":
-                    raise WarcError(f"{name}: the payload's digest is not {sha}")
-                payloads.append(body)
-            cols = [b.column(b.schema.get_field_index(c)) for c in ("record_id", "url", "digest")]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(payloads, pa.binary())], ["record_id", "url", "digest", "payload"])
-
-    return whole.union(joined).mapInArrow(run, "record_id string, url string, digest string, payload binary")
+        for b in (x.slice(i, 1) for x in batches for i in range(x.num_rows)):
+            (name,), (sha,), (parts,) = (b.column(k).to_pylist() for k in (0, 3, 4))
+            block = b"".join(p["block"] for p in parts)
+            if [p["segment"] for p in parts] != list(range(1, len(parts) + 1)):
+                raise WarcError(f"{name}: segments {[p['segment'] for p in parts]}")
+            if len(parts) > 1 and parts[-1]["total"] != len(block):
+                raise WarcError(f"{name}: {len(block)} bytes, {parts[-1]['total']} declared")
+            body = body_of(name, block, sha)
+            yield pa.RecordBatch.from_arrays(
+                [*(b.column(k) for k in range(4)), pa.array([body if payloads else None], pa.binary()), pa.array([len(body)], pa.int64())], names
+            )
+
+    schema = "record_id string, page string, url string, digest string, payload binary, payload_bytes long"
+    return whole.union(joined.mapInArrow(run, schema))
 
 
 def summary(spark: SparkSession, path: str) -> DataFrame:
-    """(record_id, payload_bytes, payload_digest, record_type, refers_to) of every page of the archive."""
-    records = read_records(spark, path)
-    done = reassemble(records).select(
-        "record_id", F.length("payload").cast("long").alias("payload_bytes"), F.substring("digest", 6, 32).alias("payload_digest")
-    )
-    again = records.filter("kind = 'revisit'").select("record_id", "refers")
-    seen = again.join(done.withColumnRenamed("record_id", "of"), F.col("refers") == F.col("of"))
+    """(record_id, page, payload_bytes, payload_digest, record_type, refers_to) of every row of the archive; pages as strings."""
+    records = staged(read_records(spark, path, payloads=False), "records")
+    done = reassemble(records, payloads=False).select("record_id", "page", "payload_bytes", F.substring("digest", 6, 32).alias("payload_digest"))
+    again = records.filter("kind = 'revisit'").select("record_id", "page", "refers")
+    asked = again.groupBy("refers").agg(F.count(F.lit(1)).alias("n"))
+    to = done.withColumnsRenamed({"record_id": "refers", "page": "refers_to"})
+    seen = spread_join(again, staged(asked.join(to, "refers"), "asked"), ["refers"], "n")
     return done.select("*", F.lit("response").alias("record_type"), F.lit(None).cast("string").alias("refers_to")).union(
-        seen.select("record_id", "payload_bytes", "payload_digest", F.lit("revisit"), "refers")
+        seen.select("record_id", "page", "payload_bytes", "payload_digest", F.lit("revisit"), "refers_to")
     )
 
 
@@ -258,8 +271,6 @@ def round_trip(pages: DataFrame, row_id="page_id", url="url", html="html", param
     path = fresh_path(spark, "warc")
     write(pages, path, row_id, url, html, params)
     kind = pages.schema[row_id].dataType
-    name = lambda c: F.nullif(F.regexp_extract(c, "^<urn:page:(.*)>$", 1), F.lit("null")).cast(kind)
-    out = summary(spark, path)
-    return out.select(
-        name("record_id").alias(row_id), "payload_bytes", "payload_digest", "record_type", name("refers_to").alias("refers_to")
+    return summary(spark, path).select(
+        F.col("page").cast(kind).alias(row_id), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to")
     )

@@ -380,6 +380,26 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
+def test_warc_keeps_every_row_of_null_and_repeated_ids(spark):
+    big = "z" * 5000
+    pages = [(None, "n", "y" * 4000), (None, "n", big), (1, "a", big), (1, "b", "y" * 4000), (1, "b", "y" * 4000), (7, "c", "y" * 4000), (7, None, None), (7, None, None), (None, "q", "")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("row", F.lit("x")).withColumn("refers", F.lit(1))
+    got = warc.round_trip(df, params=warc.WarcParams(segment=1000, chunk=300)).collect()
+    rows = Counter((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in got)
+    want = [(1, 5000, "response", None), (None, 5000, "revisit", 1), (1, 4000, "response", None), (1, 4000, "revisit", 1), (7, 4000, "revisit", 1)]
+    want += [(None, 4000, "revisit", 1), (7, 0, "response", None), (7, 0, "revisit", 7), (None, 0, "revisit", 7)]
+    assert rows == Counter(want)
+    text = spark.createDataFrame([("a b/ü", "u", big), ("", "u", big)], "page_id string, url string, html string")
+    assert {(r.page_id, r.refers_to) for r in warc.round_trip(text).collect()} == {("", None), ("a b/ü", "")}
+
+
+def test_warc_payloads_come_back(spark, tmp_path):
+    pages = [(1, "u", "a\r\n\r\nWARC/1.1\r\n"), (2, "v", "é" * 30_000)]
+    warc.write(spark.createDataFrame(pages, "page_id long, url string, html string"), str(tmp_path / "w"), params=warc.WarcParams(segment=777))
+    back = {r.page: bytes(r.payload).decode() for r in warc.reassemble(warc.read_records(spark, str(tmp_path / "w"))).collect()}
+    assert back == {str(i): h for i, _, h in pages}
+
+
 @pytest.mark.parametrize("bad", [b"5\r\nab\r\n0\r\n\r\n", b"zz\r\n", b"5"])
 def test_bad_chunks_are_refused(bad):
     with pytest.raises(warc.WarcError):
@@ -390,7 +410,7 @@ def test_chunks_and_segments():
     payload = bytes(range(256)) * 40
     assert warc.decode_chunked(warc.encode_chunked(payload, 100)) == payload
     assert warc.decode_chunked(b"3;x=1\r\nabc\r\n0\r\nT: 1\r\n\r\n") == b"abc"
-    records = warc.response_records(1, "u", payload, warc.digest(payload), warc.WarcParams(segment=1000))
+    records = warc.response_records(1, 1, "u", payload, warc.digest(payload), warc.WarcParams(segment=1000))
     heads = [h for r in records for h, _ in warc.parse(r + b"\r\n")]
     assert [h["WARC-Segment-Number"] for h in heads] == [str(k + 1) for k in range(len(heads))]
     assert sum("WARC-Segment-Total-Length" in h for h in heads) == 1

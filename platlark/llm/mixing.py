@@ -3,8 +3,12 @@
 Each source has a mean repetition rate: its target share of the mixture's
 characters over its own.  A document's count is drawn from a Poisson distribution
 with that mean by inverting it at a uniform number hashed from id and seed; the
-document is exploded by its count, and all copies are sorted by a hash of (id,
-copy), which is a global shuffle that any rerun repeats.
+document is exploded by its count, and all copies are put in the order of an MD5 of
+(id, copy), a global shuffle that any rerun repeats.  As the hashes are uniform, their
+leading bits name the partition directly: one exchange, without a sample of the rows.
+
+Rates are staged and counted: up to ``FEW`` sources they are broadcast; beyond that
+each source's row is copied to ``SALTS`` keys, so that no source meets in one task.
 
 A large rate is drawn as the sum of several draws of mean ``STEP`` at most, so the
 table of the distribution has ``TERMS`` entries whatever the rate.
@@ -14,7 +18,8 @@ Defined results
 * a source whose texts are all empty has the rate 1.
 * weights that name no source are ignored; sources without a weight get the rate 0
   when weights are given.
-* rows repeated under one id get the same count; null ids count as the empty id.
+* rows repeated under one id get the same count; null ids count as the empty id and
+  are placed by their texts as well.
 * extra columns are carried; ``copy`` and ``shuffle_key`` replace columns of those
   names.  An empty table gives an empty result.
 """
@@ -23,7 +28,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from platlark.functions.shared import staged
+
 STEP, TERMS = 8.0, 64
+FEW, SALTS = 5_000, 64
 
 
 def uniform(doc_id: Column, *salts) -> Column:
@@ -42,7 +50,7 @@ def rates(docs: DataFrame, source: str, text: str, weights: dict[str, float] | N
     else:
         pairs = [F.when(F.col("__m_source") == k, F.lit(float(v))) for k, v in weights.items()]
         goal = F.coalesce(*pairs, F.lit(0.0))
-    size = size.withColumn("goal", goal)
+    size = staged(size, "sizes").withColumn("goal", goal)
     all_size, all_goal = size.agg(F.sum("size"), F.sum("goal")).first()
     share = F.col("goal") / float(all_goal or 1.0)
     rate = F.when(F.col("size") > 0, share * float(epochs * (all_size or 0.0)) / F.col("size")).otherwise(F.lit(1.0))
@@ -79,13 +87,24 @@ def mix(
     table = rates(docs, source, text, weights, exponent, epochs)
     table = table.withColumn("draws", F.greatest(F.lit(1), F.ceil(F.col("rate") / STEP)).cast("int"))
     table = table.withColumn("__m_cdf", _distribution(F.col("rate") / F.col("draws"))).drop("rate")
-    table = table.withColumnRenamed("draws", "__m_draws")
+    table = staged(table.withColumnRenamed("draws", "__m_draws"), "rates")
     kept = [c for c in docs.columns if c not in ("copy", "shuffle_key")]
-    rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(source).alias("__m_own"), F.col(doc_id).alias("__m_id"))
-    rows = rows.join(table, F.col("__m_own").eqNullSafe(F.col("__m_source")))
+    rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(source).alias("__m_own"), F.col(doc_id).alias("__m_id"), F.col(text).alias("__m_text"))
+    own = F.col("__m_own").eqNullSafe(F.col("__m_source"))
+    if table.count() <= FEW:
+        rows = rows.join(F.broadcast(table), own)
+    else:
+        rows = rows.withColumn("__m_salt", F.pmod(F.xxhash64("__m_id", "__m_text"), F.lit(SALTS)))
+        table = table.withColumn("__m_to", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = rows.join(table, own & (F.col("__m_salt") == F.col("__m_to")))
     one = lambda j: F.size(F.filter("__m_cdf", lambda c: c <= uniform(F.col("__m_id"), seed, j.cast("string"))))
     count = F.aggregate(F.sequence(F.lit(1), F.col("__m_draws")), F.lit(0), lambda acc, j: acc + one(j))
     rows = rows.withColumn("__m_n", count).filter("__m_n > 0")
     rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__m_n"))))
     key = F.md5(F.concat_ws(":", F.coalesce(F.col("__m_id").cast("string"), F.lit("")), F.lit(f"{seed}:order"), F.col("copy").cast("string")))
-    return rows.withColumn("shuffle_key", key).select(*[F.col(f"`{c}`") for c in kept], "copy", "shuffle_key").orderBy("shuffle_key", "copy")
+    rows = rows.withColumn("shuffle_key", key)
+    place = F.when(F.col("__m_id").isNull(), F.md5(F.concat("shuffle_key", F.coalesce("__m_text", F.lit(""))))).otherwise(F.col("shuffle_key"))
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = F.floor(F.conv(F.substring(place, 1, 8), 16, 10).cast("double") * n / float(1 << 32)).cast("int")
+    rows = rows.select(*[F.col(f"`{c}`") for c in kept], "copy", "shuffle_key", place.alias("__m_place"), part.alias("__m_part"))
+    return rows.repartitionById(n, "__m_part").sortWithinPartitions("__m_place", "copy").drop("__m_place", "__m_part")

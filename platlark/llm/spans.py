@@ -6,8 +6,10 @@ lower-cased.  Runs are joined by hash over the whole corpus; the first place of
 run is the one with the smallest (id, sentence number).  A sentence covered by any
 other place of a repeated run is removed, together with the white space after it.
 
-The first place is found by an aggregation with map-side minima and joined back, so
-a passage that very many documents hold is never gathered in one task.
+Runs are hashed once and staged.  The first place is found by an aggregation with
+map-side minima and joined back; runs that hold more than a thousandth of all places
+are joined by broadcast where their places lie (``spread_join``), so a passage that
+very many documents hold is never gathered in one task.
 
 Sentences end after ``.``, ``!`` or ``?`` before white space, and at line ends.
 
@@ -29,6 +31,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from platlark.functions.shared import staged
+from platlark.llm.joins import spread_join
+
 #: Sentences in a run -> fewest words that make it a run.
 RUNS = {1: 40, 2: 16, 3: 8}
 _GAP = re.compile(r"(?<=[.!?])[ \t\r\f\v\n]+|\n+")
@@ -68,7 +73,7 @@ def find_repeats(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def hashed(batches):
-        for b in batches:
+        for b in (x.slice(i, 500) for x in batches for i in range(0, x.num_rows, 500)):
             at, rows = [], []
             for i, t in enumerate(b.column(1).to_pylist()):
                 for digest, first, n in runs(t):
@@ -81,14 +86,10 @@ def find_repeats(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
             )
 
     own = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t")).filter("id is not null and t <> ''")
-    spans = own.mapInArrow(hashed, f"id {kind}, h long, g long, place int")
-    first = (
-        spans.groupBy("h", "g")
-        .agg(F.min(F.struct("id", "place")).alias("first"), F.count(F.lit(1)).alias("n"))
-        .filter("n > 1")
-        .select("h", "g", "first")
-    )
-    later = spans.join(first, ["h", "g"]).filter((F.col("first.id") != F.col("id")) | (F.col("first.place") != F.col("place")))
+    spans = staged(own.mapInArrow(hashed, f"id {kind}, h long, g long, place int"), "runs", "zstd")
+    first = spans.groupBy("h", "g").agg(F.min(F.struct("id", "place")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    first = staged(first, "repeated")
+    later = spread_join(spans, first, ["h", "g"], "n").filter((F.col("first.id") != F.col("id")) | (F.col("first.place") != F.col("place")))
     return later.groupBy("id").agg(F.collect_set("place").alias("places"))
 
 

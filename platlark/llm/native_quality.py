@@ -29,7 +29,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = "[#*$%&|<>]"
+#: Bits of a window's number; a text has fewer than 2 ** 31 characters, so under 2 ** 30 words.
+PLACE = 30
 
 
 @dataclass(frozen=True)
@@ -54,65 +56,70 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(spaced, " "), "")
 
 
-def _pairs(w: Column, size: Column) -> Column:
-    n = F.greatest(size - 1, F.lit(0))
-    return F.zip_with(F.slice(w, 1, n), F.slice(w, F.lit(2), n), lambda a, b: F.xxhash64(a, b))
+def _beside(h: Column) -> Column:
+    """A hash for each two neighbours of an array of hashes."""
+    n = F.greatest(F.size(h) - 1, F.lit(0))
+    return F.zip_with(F.slice(h, 1, n), F.slice(h, F.lit(2), n), lambda a, b: F.xxhash64(a, b))
 
 
-def _windows(w: Column, pairs: Column, size: Column) -> Column:
-    """A hash for each 3-word window."""
-    n = F.greatest(size - 2, F.lit(0))
-    return F.zip_with(F.slice(pairs, 1, n), F.slice(w, F.lit(3), n), lambda p, c: F.xxhash64(p, c))
-
-
-def _sum(values: Column, zero) -> Column:
-    return F.aggregate(values, F.lit(zero), lambda acc, x: acc + x)
+def _numbered(h: Column) -> Column:
+    """The upper bits of each hash and, in the lower ``PLACE``, its number."""
+    return F.transform(h, lambda x, i: F.shiftleft(x, PLACE).bitwiseOR(i.cast("long")))
 
 
 def with_base(docs: DataFrame, text: str, params: QualityParams) -> DataFrame:
-    """Adds ``__q_w``, ``__q_pairs`` and the base columns of the rules.
+    """Adds ``__q_w``, ``__q_hashes`` (of words), ``__q_pairs`` and the base columns of the rules.
 
-    Repeated 3-word windows: only where two window hashes of a text agree, the
-    window texts followed by their positions are sorted, so that equal windows
-    stand side by side; the sorted positions of repeated ones give the covered
-    words, each window adding those that the one before has not covered.
+    Repeated 3-word windows: only where two window hashes of a text agree, each
+    window's number is joined to bits of its hash in one long; sorted, windows of
+    equal bits stand side by side.  Only those are spelled out, followed by their positions, and sorted again, so that equal
+    windows stand side by side; the sorted positions of repeated ones give the
+    covered words, each window adding those that the one before has not covered.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
     gram = lambda k: F.substring_index(k, " ", 3)
-    keyed, at = F.col("__q_keyed"), F.col("__q_at")
+    bits, keyed, at = F.col("__q_bits"), F.col("__q_keyed"), F.col("__q_at")
     w, n, pairs = F.col("__q_w"), F.col("n_words"), F.col("__q_pairs")
     beside = lambda k, i: gram(k) == gram(F.coalesce(F.get(keyed, i), F.lit("")))
+    near = lambda x, i: F.shiftright(F.get(bits, i), PLACE) == F.shiftright(x, PLACE)
     out = docs.withColumns(
         {
             "__q_w": words(F.col(text)),
-            "word_chars": F.length(F.regexp_replace(t, "[\\x20\\x09-\\x0D]+", "")).cast("long"),
-            "n_symbols": (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long"),
+            "n_symbols": F.regexp_count(t, F.lit(SYMBOLS)).cast("long"),
             "__q_lines": lines,
         }
     ).withColumns(
         {
             "n_words": F.size(w).cast("long"),
+            "word_chars": F.length(F.array_join(w, "")).cast("long"),
             "n_dup_lines": (F.size("__q_lines") - F.size(F.array_distinct("__q_lines"))).cast("long"),
-            "__q_pairs": _pairs(w, F.size(w)),
+            "__q_hashes": F.transform(w, lambda x: F.xxhash64(x)),
         }
     )
-    out = out.withColumn("__q_windows", _windows(w, pairs, F.size(w)))
+    out = out.withColumn("__q_pairs", _beside(F.col("__q_hashes")))
+    out = out.withColumn("__q_windows", _beside(pairs))
+    repeats = F.size(F.array_distinct("__q_windows")) < F.size("__q_windows")
+    bits_of = F.sort_array(_numbered(F.col("__q_windows")))
+    out = out.withColumn("__q_bits", F.when(repeats, bits_of).otherwise(F.array().cast("array<bigint>")))
+    out = out.withColumn(
+        "__q_twins",
+        F.transform(
+            F.filter(bits, lambda x, i: near(x, i - 1) | near(x, i + 1)), lambda x: x.bitwiseAND((1 << PLACE) - 1).cast("int")
+        ),
+    )
     out = out.withColumn(
         "__q_keyed",
-        F.when(
-            F.size(F.array_distinct("__q_windows")) < F.size("__q_windows"),
-            F.array_sort(
-                F.transform(
-                    F.slice(w, 1, F.size("__q_windows")),
-                    lambda a, i: F.concat_ws(" ", a, F.get(w, i + 1), F.get(w, i + 2), F.lpad(i.cast("string"), 9, "0")),
-                )
-            ),
-        ).otherwise(F.array().cast("array<string>")),
+        F.sort_array(
+            F.transform(
+                F.col("__q_twins"),
+                lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2), F.lpad(i.cast("string"), 10, "0")),
+            )
+        ),
     )
     out = out.withColumn(
         "__q_at",
-        F.array_sort(
+        F.sort_array(
             F.filter(
                 F.transform(keyed, lambda k, i: F.when(beside(k, i - 1) | beside(k, i + 1), F.substring_index(k, " ", -1).cast("int"))),
                 lambda x: x.isNotNull(),
@@ -120,11 +127,11 @@ def with_base(docs: DataFrame, text: str, params: QualityParams) -> DataFrame:
         ),
     )
     step = F.transform(at, lambda p, i: F.least(F.lit(3), F.coalesce(F.get(at, i + 1) - p, F.lit(3))))
-    out = out.withColumn("n_repeat_words", _sum(step, 0).cast("long"))
+    out = out.withColumn("n_repeat_words", F.aggregate(step, F.lit(0), lambda acc, x: acc + x).cast("long"))
     return out.withColumn(
         "base_failed",
         (n < params.min_words) | (100 * F.col("n_repeat_words") > params.max_repeat_percent * n),
-    ).drop("__q_lines", "__q_windows", "__q_keyed", "__q_at")
+    ).drop("__q_lines", "__q_windows", "__q_bits", "__q_twins", "__q_keyed", "__q_at")
 
 
 def double_array(spark: SparkSession, values: list[float]) -> Column:
@@ -148,13 +155,12 @@ def fit(docs: DataFrame, trusted_ids: DataFrame, doc_id: str, text: str, params:
     """
     ids = trusted_ids.select(F.col(trusted_ids.columns[0]).alias("__q_id")).dropna().distinct()
     ids = ids.orderBy(F.xxhash64("__q_id"), "__q_id").limit(params.max_trusted).withColumn("__q_good", F.lit(1))
-    w = F.col("w")
-    rows = docs.select(F.col(doc_id).alias("id"), words(F.col(text)).alias("w")).join(
+    h = F.col("h")
+    rows = docs.select(F.col(doc_id).alias("id"), F.transform(words(F.col(text)), lambda x: F.xxhash64(x)).alias("h")).join(
         F.broadcast(ids), F.col("id") == F.col("__q_id"), "left"
     )
-    hashes = F.concat(F.transform(w, lambda x: F.xxhash64(x)), _pairs(w, F.size(w)))
     counts = (
-        rows.select(F.coalesce("__q_good", F.lit(0)).alias("good"), F.explode(hashes).alias("h"))
+        rows.select(F.coalesce("__q_good", F.lit(0)).alias("good"), F.explode(F.concat(h, _beside(h))).alias("h"))
         .groupBy(_bucket(F.col("h"), params).alias("b"))
         .agg(F.count(F.lit(1)).alias("raw"), F.sum("good").alias("target"))
         .collect()
@@ -173,14 +179,13 @@ def fit(docs: DataFrame, trusted_ids: DataFrame, doc_id: str, text: str, params:
 def score(docs: DataFrame, ratios: list[float], text: str, params: QualityParams) -> DataFrame:
     """``docs`` with the base columns, ``llr`` (mean log ratio) and ``kept``."""
     table = double_array(docs.sparkSession, ratios)
-    w, pairs = F.col("__q_w"), F.col("__q_pairs")
-    at = lambda h: F.get(table, _bucket(h, params))
-    both = F.concat(F.transform(w, lambda x: at(F.xxhash64(x))), F.transform(pairs, at))
+    words_, pairs = F.col("__q_hashes"), F.col("__q_pairs")
+    total = lambda h: F.aggregate(h, F.lit(0.0), lambda acc, x: acc + F.get(table, _bucket(x, params)))
     out = with_base(docs, text, params)
-    n = F.size(w) + F.size(pairs)
-    out = out.withColumn("llr", F.when(n > 0, _sum(both, 0.0) / n).otherwise(F.lit(0.0)))
+    n = F.size(words_) + F.size(pairs)
+    out = out.withColumn("llr", F.when(n > 0, (total(words_) + total(pairs)) / n).otherwise(F.lit(0.0)))
     kept = ~F.col("base_failed") & (F.col("llr") >= params.threshold)
-    return out.withColumn("kept", kept).drop("__q_w", "__q_pairs")
+    return out.withColumn("kept", kept).drop("__q_w", "__q_hashes", "__q_pairs")
 
 
 def quality(docs, trusted_ids, doc_id="doc_id", text="text", params: QualityParams = QualityParams()) -> DataFrame:

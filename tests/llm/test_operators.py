@@ -469,19 +469,56 @@ def test_extraction(spark):
     for i in range(12):
         assert got[i].text == f"Head Word{i} & bold x y Next{i}" and got[i].n_chars == len(got[i].text)
     assert [got[i].text for i in (20, 21, 22, 23)] == ["", "", "plain text", "Head cut off"]
-    frames = {r.of: r.frame for r in templates.deduce(df, "page_id", "url", "html").collect()}
+    frames = {r.host: r.frame for r in templates.deduce(df, "url", "html").collect() if r.frame}
     assert set(frames) == {"h0.org", "h1.org"} and all(len(f) > 8 for f in frames.values())
     assert templates.main_text(df.limit(0)).count() == 0
 
 
-def test_extraction_without_an_article_uses_the_frame():
-    pages = [f"<body><div id=top>Same words</div><div><p>Own {i}</p></div></body>" for i in range(3)]
-    own = [templates.token(*x) for x in templates.scan(pages[0])]
-    shared = [t for t in own if all(t in [templates.token(*x) for x in templates.scan(p)] for p in pages) and own.count(t) == 1]
-    assert templates.extract(pages[1], shared, [k / 9 for k in range(len(shared))], []) == "Own 1"
+def deduced(spark, pages):
+    df = spark.createDataFrame([(i, "http://h.org/", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    return [r.text for r in templates.main_text(df).orderBy("page_id").collect()]
+
+
+def test_template_decides_where_markup_says_nothing(spark):
+    """Neutral tags and class names: menu, advert, article and footer are all plain div elements."""
+    rng = random.Random(31)
+    pages, want = [], []
+    for i in range(12):
+        body = [prose(rng, rng.randrange(30, 90)) for _ in range(rng.randrange(2, 6))]
+        menu = "".join(f"<div class=ke><a href=/{w}>{w}</a></div>" for w in (rng.choice(WORDS) + str(i) for _ in range(6)))
+        pages.append(
+            f"<body><div class=ka>{menu}</div><div class=kb>{prose(rng, 5)}</div><div class=kc><div class=kf>Share this page</div>"
+            + "".join(f"<div class=kg>{x}</div>" for x in body)
+            + f"</div><div class=kd>&copy; {prose(rng, 9)}</div></body>"
+        )
+        want.append(" ".join(body))
+    assert deduced(spark, pages) == want
+    assert deduced(spark, pages + ["", "<body>"])[:12] == want  # pages without tokens or text do not empty the frame
+
+
+def test_template_narrows_and_yields_to_markup(spark):
+    rng = random.Random(32)
+    own = [prose(rng, 80) for _ in range(5)]
+    wrap = "<body><div id=w><p>Subscribe now</p><article><p>{}</p><p>Read more below</p></article><div class=list>{}</div></div></body>"
+    assert deduced(spark, [wrap.format(x, prose(rng, 20)) for x in own]) == own
+    copies = ["<body><div id=a><p>The very same text on all pages</p></div></body>"] * 4
+    assert deduced(spark, copies) == ["The very same text on all pages"] * 4
+
+
+def test_article_keeps_what_only_sounds_like_a_notice():
+    inner = '<div class="article-header"><h1>Head</h1></div><section class="related-work"><p title=it\'s>Kin</p></section><p class="ad">Buy<p>End<ul><li class=comment>no<li>yes</ul><span class="share">x <b>y</b></span>'
+    assert templates.extract(f"<article>{inner}</article><p>don't</p>") == "Head Kin End yes"
     assert html.unescape("&eacute;") in templates.extract("<p>&eacute;</p>")
 
 
+def test_extraction_defined_cases(spark):
+    text = "<article><p>Some words of the page</p></article>"
+    rows = [(None, "http://a/", text), (None, "http://a/", text), (4, None, text), (4, "http://a/", None), (4, "http://a/", "<p title='>x")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit(1)).withColumn("rows", F.lit(2))
+    got = templates.main_text(df).collect()
+    assert Counter((r.page_id, r.text) for r in got) == Counter({(None, "Some words of the page"): 2, (4, "Some words of the page"): 1, (4, ""): 1, (4, "x"): 1})
+
+
 def test_url_rules_match_brute_force(spark):
     hosts = ["net", "a.net", "example.net", "m.example.net", "notexample.net", "example.com", "x.example.com", "org", "b.org", "forg", ""]
     paths = ["", "/", "/en/", "/en", "/de/x", "/fr/?q", "/fr#a", "?x=/en/"]

@@ -43,7 +43,7 @@ from platlark.functions.shared import staged
 from platlark.llm import tokens
 
 
-#: Items of a bin, and displaced items, among which pairs are tried.
+#: Items of a bin among which pairs are tried.
 SMALL = 8
 
 
@@ -52,10 +52,10 @@ class PackParams:
     capacity: int = 2048
     end_id: int = 0
     problem: int = 4096
-    islands: int = 4
-    population: int = 4
-    epochs: int = 4
-    generations: int = 4
+    islands: int = 3
+    population: int = 3
+    epochs: int = 2
+    generations: int = 3
     accept: float = 0.998
     rounds: int = 3
     seed: int = 17
@@ -116,28 +116,35 @@ def fill(b: list[int], lengths: list[int]) -> int:
 def exchange(displaced: list[int], lengths: list[int], cap: int, bins: Bins) -> list[int]:
     """Swaps one or two items of a bin for one or two displaced ones that fill it better; returns what is displaced then.
 
-    Bins of more than ``SMALL`` items are left alone: small items fill a bin well enough.
+    Every displaced item and some pairs of them are kept sorted by length, so the
+    best fit for what a bin could give up is found by bisection.  Bins of more than
+    ``SMALL`` items are left alone: small items fill a bin well enough.
     """
+    free = set(displaced)
+    some = sorted(displaced, key=lambda i: lengths[i])[:: max(1, len(displaced) // SMALL)]
+    gives = [(lengths[i], (i,)) for i in displaced] + [(lengths[i] + lengths[j], (i, j)) for i, j in itertools.combinations(some, 2)]
+    gives.sort()
+    sizes = [x[0] for x in gives]
     for b in bins:
-        if len(b) > SMALL or not displaced:
-            continue
         room = cap - fill(b, lengths)
-        if not room:
+        if not room or len(b) > SMALL or not gives:
             continue
-        gives = [(i,) for i in displaced] + list(itertools.combinations(displaced[:SMALL], 2))
-        takes = [(i,) for i in b] + list(itertools.combinations(b, 2))
         best = None
-        for take in takes:
+        for take in itertools.chain(((i,) for i in b), itertools.combinations(b, 2)):
             out = fill(take, lengths)
-            for give in gives:
-                gain = fill(give, lengths) - out
-                if 0 < gain <= room and (best is None or gain > best[0]):
-                    best = gain, take, give
+            at = bisect.bisect_right(sizes, out + room) - 1
+            if at >= 0 and sizes[at] > out and (best is None or sizes[at] - out > best[0]) and free.issuperset(gives[at][1]):
+                best = sizes[at] - out, take, gives[at][1]
         if best:
             _, take, give = best
             b[:] = [i for i in b if i not in take] + list(give)
-            displaced = [i for i in displaced if i not in give] + list(take)
-    return displaced
+            free.difference_update(give)
+            free.update(take)
+            for i in take:
+                at = bisect.bisect_left(sizes, lengths[i])
+                sizes.insert(at, lengths[i])
+                gives.insert(at, (lengths[i], (i,)))
+    return [i for i in displaced if i in free] + sorted(free.difference(displaced))
 
 
 def crossover(mother: Bins, father: Bins, lengths: list[int], cap: int, rng: random.Random) -> Bins:
@@ -183,7 +190,7 @@ def settle(people: list[Bins], lengths: list[int], params: PackParams, rng: rand
         for k in range(max(1, len(people) // 2)):  # the worse half makes room for children
             a, b = rng.sample(range(len(people) - k), 2) if len(people) - k > 1 else (0, 0)
             child = crossover(people[a], people[b], lengths, cap, rng)
-            people[-1 - k] = max(child, mutate(child, lengths, cap, rng), key=fit)
+            people[-1 - k] = child if len(child) <= least else max(child, mutate(child, lengths, cap, rng), key=fit)
     return sorted(people, key=fit, reverse=True)
 
 

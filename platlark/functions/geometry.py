@@ -110,107 +110,72 @@ def inside(points: np.ndarray, rings: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def on_edge(points: np.ndarray, rings: list[np.ndarray], within: float = 1e-7) -> np.ndarray:
-    """Whether points (n, 2) lie on an edge of the rings: polygons are closed sets."""
-    out = np.zeros(len(points), dtype=bool)
-    for ring in rings:
-        p, e = ring[:-1], np.diff(ring, axis=0)
-        rel = points[:, None] - p[None]
-        size = (e**2).sum(-1)
-        at = np.clip((rel * e[None]).sum(-1) / np.where(size == 0, 1, size), 0, 1)
-        out |= (((rel - at[..., None] * e[None]) ** 2).sum(-1) <= within**2).any(axis=1)
-    return out
+def _pairs_of(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For every row k the numbers first[k] .. first[k] + count[k] - 1, with k beside them."""
+    own = np.repeat(np.arange(len(count)), count)
+    return own, np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
 
 
-def clip_intervals(line: np.ndarray, rings: list[np.ndarray]) -> list[tuple[float, float]]:
-    """Intervals (metres along the line) of a polyline inside closed rings, joined where they touch.
+def clip_pairs(xy: np.ndarray, points: np.ndarray, edges: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Parts of many lines inside their polygons, all at once: (pair, lo, hi, ax, ay, bx, by).
 
-    Each segment is cut where it crosses a ring's edge or where an edge along it ends;
-    a part is inside if its middle is inside or on an edge.
+    xy: the points of all lines, one line after the other, ``points[k]`` of them for
+    pair k; edges (n, 4): the ring edges of all polygons, ``own[k]`` of them for pair k.
+    lo and hi are metres along the line.  Each segment is cut where it crosses an edge
+    or where an edge along it ends; a part is inside if its middle is inside or on an
+    edge, and parts that touch are one.
     """
-    out: list[tuple[float, float]] = []
-    along = 0.0
-    for a, b in zip(line[:-1], line[1:], strict=True):
-        d = b - a
-        size = float(np.hypot(*d))
-        if size == 0:
-            continue
-        cuts = [0.0, 1.0]
-        for ring in rings:
-            p, e = ring[:-1], np.diff(ring, axis=0)
-            det = d[0] * e[:, 1] - d[1] * e[:, 0]
-            ok = det != 0
-            w = p[ok] - a
-            t = (w[:, 0] * e[ok, 1] - w[:, 1] * e[ok, 0]) / det[ok]
-            u = (w[:, 0] * d[1] - w[:, 1] * d[0]) / det[ok]
-            cuts += t[(t > 0) & (t < 1) & (u >= 0) & (u <= 1)].tolist()
-            along_line = ~ok & (np.abs((p - a)[:, 0] * d[1] - (p - a)[:, 1] * d[0]) <= 1e-7 * size)
-            for ends in (p[along_line], p[along_line] + e[along_line]):
-                t = (ends - a) @ d / size**2
-                cuts += t[(t > 0) & (t < 1)].tolist()
-        t = np.unique(cuts)
-        middle = a + d * ((t[:-1] + t[1:]) / 2)[:, None]
-        held = inside(middle, rings) | on_edge(middle, rings)
-        for keep, lo, hi in zip(held, t[:-1], t[1:], strict=True):
-            if keep:
-                lo_m, hi_m = along + lo * size, along + hi * size
-                if out and lo_m - out[-1][1] <= 1e-9:
-                    out[-1] = (out[-1][0], hi_m)
-                else:
-                    out.append((lo_m, hi_m))
-        along += size
-    return out
-
-
-def point_along(line: np.ndarray, at: float) -> tuple[float, float]:
-    """The point ``at`` metres along a polyline."""
-    steps = np.hypot(*np.diff(line, axis=0).T)
-    ends = np.concatenate([[0.0], np.cumsum(steps)])
-    k = int(np.clip(np.searchsorted(ends, at, side="right") - 1, 0, len(steps) - 1))
-    share = (at - ends[k]) / steps[k] if steps[k] else 0.0
-    p = line[k] + (line[k + 1] - line[k]) * share
-    return float(p[0]), float(p[1])
-
-
-def union_length(intervals: list[tuple[float, float]]) -> float:
-    total, end = 0.0, -math.inf
-    for lo, hi in sorted(intervals):
-        total += max(0.0, hi - max(lo, end))
-        end = max(end, hi)
-    return total
-
-
-def stretches(lines: list[np.ndarray]) -> list[np.ndarray]:
-    """Unbroken runs: lines joined at ends that exactly two of them share."""
-    ends: dict[tuple[float, float], list[tuple[int, int]]] = {}
-    for k, line in enumerate(lines):
-        for side in (0, -1):
-            ends.setdefault(tuple(line[side]), []).append((k, side))
-    used: set[int] = set()
-
-    def walk(k: int, side: int) -> list[np.ndarray]:
-        """The pieces met when leaving line ``k`` at ``side``, turned to run on."""
-        out = []
-        while True:
-            meet = ends[tuple(lines[k][side])]
-            other = [m for m in meet if m[0] != k]
-            if len(meet) != 2 or not other or other[0][0] in used:
-                return out
-            k, entry = other[0]
-            used.add(k)
-            out.append(lines[k] if entry == 0 else lines[k][::-1])
-            side = -1 if entry == 0 else 0
-
-    runs = []
-    for k, line in enumerate(lines):
-        if k in used:
-            continue
-        used.add(k)
-        after = walk(k, -1)
-        before = [p[::-1] for p in walk(k, 0)][::-1]
-        chain = [*before, line, *after]
-        runs.append(np.concatenate([chain[0], *(p[1:] for p in chain[1:])]))
-    return runs
+    start = np.cumsum(points) - points
+    pair, at = _pairs_of(start, np.maximum(points - 1, 0))
+    a, d = xy[at], xy[at + 1] - xy[at]
+    size = np.hypot(d[:, 0], d[:, 1])
+    along = np.cumsum(size) - size
+    first_of = np.searchsorted(pair, pair)  # along starts at 0 on every line
+    along -= along[first_of] if len(along) else 0
+    keep = size > 0
+    pair, a, d, size, along = pair[keep], a[keep], d[keep], size[keep], along[keep]
+    begin = np.cumsum(own) - own
+    s, e = _pairs_of(begin[pair], own[pair])
+    p, step = edges[e, :2], edges[e, 2:] - edges[e, :2]
+    det = d[s, 0] * step[:, 1] - d[s, 1] * step[:, 0]
+    w = p - a[s]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        t = (w[:, 0] * step[:, 1] - w[:, 1] * step[:, 0]) / det
+        u = (w[:, 0] * d[s, 1] - w[:, 1] * d[s, 0]) / det
+    crossed = (det != 0) & (t > 0) & (t < 1) & (u >= 0) & (u <= 1)
+    beside = (det == 0) & (np.abs(w[:, 0] * d[s, 1] - w[:, 1] * d[s, 0]) <= 1e-7 * size[s])
+    cut_seg, cut_t = [np.arange(len(pair)), np.arange(len(pair)), s[crossed]], [np.zeros(len(pair)), np.ones(len(pair)), t[crossed]]
+    for ends in (w[beside], w[beside] + step[beside]):
+        on = s[beside]
+        x = (ends * d[on]).sum(axis=1) / size[on] ** 2
+        cut_seg.append(on[(x > 0) & (x < 1)])
+        cut_t.append(x[(x > 0) & (x < 1)])
+    seg, t = np.concatenate(cut_seg), np.concatenate(cut_t)
+    order = np.lexsort((t, seg))
+    seg, t = seg[order], t[order]
+    k = np.flatnonzero((seg[1:] == seg[:-1]) & (t[1:] > t[:-1]))
+    seg, t0, t1 = seg[k], t[k], t[k + 1]
+    middle = a[seg] + d[seg] * ((t0 + t1) / 2)[:, None]
+    m, e = _pairs_of(begin[pair[seg]], own[pair[seg]])
+    x, y = middle[m, 0], middle[m, 1]
+    x0, y0, x1, y1 = edges[e].T
+    with np.errstate(divide="ignore", invalid="ignore"):
+        over = ((y0 > y) != (y1 > y)) & (x < (x1 - x0) * (y - y0) / (y1 - y0) + x0)
+    odd = np.bincount(m, over, len(seg)).astype(np.int64) % 2 == 1
+    step = edges[e, 2:] - edges[e, :2]
+    rel, length2 = middle[m] - edges[e, :2], (step**2).sum(axis=1)
+    share = np.clip((rel * step).sum(axis=1) / np.where(length2 == 0, 1, length2), 0, 1)
+    touches = ((rel - share[:, None] * step) ** 2).sum(axis=1) <= 1e-14
+    held = odd | (np.bincount(m, touches, len(seg)) > 0)
+    seg, t0, t1 = seg[held], t0[held], t1[held]
+    if not len(seg):
+        return (np.zeros(0, np.int64), *(np.zeros(0) for _ in range(6)))
+    lo, hi = along[seg] + t0 * size[seg], along[seg] + t1 * size[seg]
+    new = np.append(True, (pair[seg][1:] != pair[seg][:-1]) | (lo[1:] - hi[:-1] > 1e-9))
+    i = np.flatnonzero(new)
+    j = np.append(i[1:], len(seg)) - 1
+    from_, to = a[seg[i]] + d[seg[i]] * t0[i][:, None], a[seg[j]] + d[seg[j]] * t1[j][:, None]
+    return pair[seg[i]], lo[i], hi[j], from_[:, 0], from_[:, 1], to[:, 0], to[:, 1]
 
 
 def ring_distance(a: list[np.ndarray], b: list[np.ndarray]) -> float:

@@ -69,28 +69,25 @@ def tokens(name: Column) -> Column:
     return F.filter(F.split(squeezed, " "), lambda t: t != "")
 
 
-def _leads(t: Column) -> Column:
-    return (F.size(t) > 1) & F.array_contains(strings(DIRECTIONALS), bare(F.get(t, F.lit(0))))
-
-
-def _after_direction(t: Column) -> Column:
-    return F.when(_leads(t), F.slice(t, F.lit(2), F.size(t))).otherwise(t)
-
-
-def _trails(t: Column) -> Column:
-    return (F.size(t) > 1) & F.array_contains(strings(SUFFIXES), bare(F.element_at(t, -1)))
+def _let(value: Column, then) -> Column:
+    """``then(value)``, with the value worked out once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
 def parts(name: Column) -> Column:
     """struct(direction, core, post) with the original case."""
-    t = tokens(name)
-    rest = _after_direction(t)
-    core = F.when(_trails(rest), F.slice(rest, F.lit(1), F.size(rest) - 1)).otherwise(rest)
-    return F.struct(
-        F.when(_leads(t), F.get(t, F.lit(0))).otherwise(F.lit("")).alias("direction"),
-        F.array_join(core, " ").alias("core"),
-        F.when(_trails(rest), F.element_at(rest, -1)).otherwise(F.lit("")).alias("post"),
+    leads = lambda t: (F.size(t) > 1) & bare(F.get(t, F.lit(0))).isin(DIRECTIONALS)
+    trails = lambda t: (F.size(t) > 1) & bare(F.element_at(t, -1)).isin(SUFFIXES)
+    headed = lambda t: F.struct(
+        F.when(leads(t), F.get(t, F.lit(0))).otherwise(F.lit("")).alias("direction"),
+        F.when(leads(t), F.slice(t, F.lit(2), F.size(t))).otherwise(t).alias("rest"),
+    )
+    ended = lambda h: F.struct(
+        h["direction"].alias("direction"),
+        F.array_join(F.when(trails(h["rest"]), F.slice(h["rest"], F.lit(1), F.size(h["rest"]) - 1)).otherwise(h["rest"]), " ").alias("core"),
+        F.when(trails(h["rest"]), F.element_at(h["rest"], -1)).otherwise(F.lit("")).alias("post"),
     )
+    return _let(_let(tokens(name), headed), ended)
 
 
 def normalize(name: Column) -> Column:
@@ -98,10 +95,15 @@ def normalize(name: Column) -> Column:
     return parts(name)["core"]
 
 
+def spelled(core: Column) -> Column:
+    """A core name in lower case, without punctuation; accents go, they are not folded."""
+    words = F.lower(F.regexp_replace(core, "\\s*&\\s*", " and "))
+    return F.trim(F.regexp_replace(F.regexp_replace(words, "[^a-z0-9 ]", ""), "\\s+", " "))
+
+
 def key(name: Column) -> Column:
-    """Comparison key: the normalized name in lower case, without punctuation; accents go, they are not folded."""
-    spelled = F.lower(F.regexp_replace(normalize(name), "\\s*&\\s*", " and "))
-    return F.trim(F.regexp_replace(F.regexp_replace(spelled, "[^a-z0-9 ]", ""), "\\s+", " "))
+    """Comparison key of a street name."""
+    return spelled(normalize(name))
 
 
 def post_rank(post: Column) -> Column:
@@ -110,12 +112,16 @@ def post_rank(post: Column) -> Column:
     return F.when(at > 0, at - 1).otherwise(F.lit(len(POST_RANK)))
 
 
-def axis(name: Column) -> Column:
+def axis_of(direction: Column) -> Column:
     """NS or EW by the directional, else empty."""
-    d = bare(parts(name)["direction"])
+    d = bare(direction)
     return F.when(d.isin(AXES["NS"]), "NS").when(d.isin(AXES["EW"]), "EW").otherwise("")
 
 
+def axis(name: Column) -> Column:
+    return axis_of(parts(name)["direction"])
+
+
 def analysed(classes: Column) -> Column:
     """Whether all road classes of a place are ones that a developer plausibly named."""
     return (F.size(classes) > 0) & (F.size(F.array_except(classes, strings(ANALYSED_CLASSES))) == 0)

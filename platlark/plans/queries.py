@@ -50,9 +50,10 @@ parts AS (
 
 @query(PARTS_SQL + "SELECT way_id, direction, core, post, key, axis, post_rank FROM keyed")
 def street_name_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name = F.col("name")
-    d = town.table(spark, sf_dir, "ways").select("way_id", N.parts(name).alias("p"), N.key(name).alias("key"), N.axis(name).alias("axis"))
-    return d.select("way_id", "p.direction", "p.core", "p.post", "key", "axis", N.post_rank(F.col("p.post")).alias("post_rank"))
+    d = town.table(spark, sf_dir, "ways").select("way_id", N.parts(F.col("name")).alias("p"))
+    return d.select(
+        "way_id", "p.direction", "p.core", "p.post", N.spelled(F.col("p.core")).alias("key"), N.axis_of(F.col("p.direction")).alias("axis"), N.post_rank(F.col("p.post")).alias("post_rank")
+    )
 
 
 @query(PARTS_SQL + "SELECT key AS core, arg_min(name, ord) AS name FROM keyed WHERE highway <> 'trunk' AND key <> '' GROUP BY key")
@@ -246,8 +247,7 @@ def naming_plats(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM naming n JOIN (SELECT DISTINCT place_id, base FROM scored) t ON t.base = n.base AND t.place_id <> n.place_id LEFT JOIN naming o ON o.place_id = t.place_id GROUP BY n.place_id""")
 def peer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = _scored(spark, sf_dir)
-    p = X.peers(scored, X.naming_plats(scored))
-    return p.groupBy("place_id").agg(F.count_if("same_act").alias("peers"), F.count_if(~F.col("same_act")).alias("same_plat"))
+    return X.peer_counts(scored, X.naming_plats(scored))
 
 
 @query(NAMING_SQL + """, c AS (SELECT base, count(*) AS n FROM naming GROUP BY base), l AS (SELECT list(n ORDER BY n) AS v FROM c)
@@ -409,20 +409,23 @@ def _streets(spark, sf_dir):
     supplier = spark.read.parquet(f"{sf_dir}/supplier.parquet")
     k = F.col("s_suppkey")
     places = supplier.select(F.concat(F.lit("place"), k, F.lit("#0")).alias("place_id"), F.concat(F.lit("core"), k % 50).alias("core"), F.col("s_name").alias("name"))
-    lines = supplier.filter(k % 10 != 3).select(F.concat(F.lit("place"), k, F.lit("#0")).alias("place_id"), F.array(E.rounded(F.array(F.struct((k / 7).alias("lon"), (k / 3).alias("lat"))))).alias("coordinates"))
+    # suppliers of region 2's nations have no line: they are places without geometry
+    nations = spark.read.parquet(f"{sf_dir}/nation.parquet").filter("n_regionkey = 2").select(F.col("n_nationkey").alias("s_nationkey"))
+    drawn = supplier.join(F.broadcast(nations), "s_nationkey", "left_anti")
+    lines = drawn.select(F.concat(F.lit("place"), k, F.lit("#0")).alias("place_id"), F.array(E.rounded(F.array(F.struct((k / 7).alias("lon"), (k / 3).alias("lat"))))).alias("coordinates"))
     contexts = supplier.select(
         F.concat(F.lit("place"), k, F.lit("#0")).alias("place_id"), F.when(k % 4 > 0, F.concat(F.lit("Phase "), k)).alias("naming_phase"), F.when(k % 4 > 0, F.concat(F.lit("Plat "), k)).alias("naming_plat"),
         F.when(k % 4 > 0, F.concat(F.lit("PLAT "), k)).alias("naming_phase_recorded"), F.when(k % 5 > 0, F.concat(1900 + k * 7 % 120, F.lit("-01-01"))).alias("naming_recorded"),
     )
-    candidates = town.table(spark, sf_dir, "candidates").filter(F.col("core").rlike("[02468]$"))
+    candidates = _kept(spark, sf_dir)
     answers = _latest(spark, sf_dir).withColumns({"label": F.col("qid"), "reasoning": F.lit("")})
     return E.streets(places, lines, answers, candidates, contexts)
 
 
-STREETS_SQL = LATEST_SQL + f""", streets AS (
-  SELECT 'place' || s_suppkey || '#0' AS place, s_name AS street, 'core' || (s_suppkey % 50) AS core, CAST(count(*) OVER (PARTITION BY s_suppkey % 50) AS INT) AS places_with_core, s_suppkey % 10 <> 3 AS drawn,
+STREETS_SQL = KEPT_SQL.strip() + ", " + LATEST_SQL.strip()[5:] + """, streets AS (
+  SELECT 'place' || s_suppkey || '#0' AS place, s_name AS street, 'core' || (s_suppkey % 50) AS core, CAST(count(*) OVER (PARTITION BY s_suppkey % 50) AS INT) AS places_with_core, s_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 2) AS drawn,
          coalesce(l.qid, '') AS qid, coalesce(l.theme, '') AS theme, CASE WHEN l.place IS NULL THEN 'not_asked' ELSE 'answered' END AS status,
-         CASE WHEN l.place IS NOT NULL THEN '' WHEN s_suppkey % 50 % 2 = 0 THEN 'not_in_a_run_yet' ELSE 'no_wikidata_candidate' END AS not_asked_because,
+         CASE WHEN l.place IS NOT NULL THEN '' WHEN 'core' || (s_suppkey % 50) IN (SELECT core FROM kept) THEN 'not_in_a_run_yet' ELSE 'no_wikidata_candidate' END AS not_asked_because,
          CASE WHEN s_suppkey % 4 > 0 THEN 'Phase ' || s_suppkey ELSE '' END AS subdivision, CAST(CASE WHEN s_suppkey % 5 > 0 THEN 1900 + s_suppkey * 7 % 120 END AS INT) AS plat_year,
          CASE WHEN l.place IS NULL THEN 'NOT_ASKED' WHEN l.qid <> '' THEN 'ENTITY' ELSE l.choice END AS category
   FROM supplier LEFT JOIN latest l ON l.place = 'place' || s_suppkey || '#0'

@@ -170,9 +170,10 @@ def near_unplatted_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.near_unplatted(lines.select("way_id", "place_id"), w, parts)
 
 
-@query()
+@query(f"SELECT oid, name, base, [x FOR x IN string_split(levels, ',') IF x <> ''] AS levels, contains(name, ' AMD') AS amended, label FROM ({town.sql('filings')})")
 def plat_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = P.parse(town.table(spark, sf_dir, "plats").select("oid", "name"), "name").withColumn("base", P.base_of_parts())
+    """Names of every form, parsed and shown; the SQL has what each form stands for."""
+    p = P.parse(town.table(spark, sf_dir, "filings").select("oid", "name"), "name").withColumn("base", P.base_of_parts())
     return P.display_name(p.select("oid", "name", "base", "levels", "amended"), "name", "label")
 
 
@@ -183,11 +184,73 @@ def plat_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("oid", "recorded", F.coalesce(F.year("recorded"), "tax_year").cast("long").alias("plat_year"), F.col("name").rlike(P.AMENDMENT).alias("amended"), N.digest(F.col("name")).alias("digest"))
 
 
-@query()
+FAMILIES_SQL = f"""
+WITH p AS (
+  SELECT oid, ord, regexp_replace(name, ' SUB NO.*', '') AS base, regexp_extract(name, 'NO 0([0-9])', 1) AS k, contains(name, 'AMD') AS amended,
+         CASE WHEN recorded_ms IS NULL THEN NULL ELSE CAST(epoch_ms(recorded_ms) AS DATE) END AS recorded, floor(oid / 300.0) % 4 = 3 AS away FROM {PLATS} p
+), f AS (
+  SELECT *, base || CASE WHEN away THEN ' #2' ELSE '' END AS family, bool_or(away) OVER (PARTITION BY base) AS scattered,
+         upper(base[1]) || lower(base[2:]) AS shown FROM p
+), first AS (
+  SELECT family, first(k ORDER BY amended, recorded IS NULL, recorded, ord) AS k FROM f GROUP BY family
+), families AS (
+  SELECT f.oid, f.family, CASE WHEN scattered THEN shown || ' #' || first.k ELSE shown END AS family_label,
+         shown || CASE WHEN scattered THEN ' #' ELSE ', Phase ' END || f.k AS label, scattered FROM f JOIN first USING (family)
+)
+"""
+
+
+@query(FAMILIES_SQL + "SELECT * FROM families")
 def plat_families(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.families(T.recorded(town.plats(spark, sf_dir)))
 
 
+@query(FAMILIES_SQL + "SELECT family_label, count(DISTINCT family) AS families FROM families GROUP BY family_label HAVING count(DISTINCT family) > 1")
+def label_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.label_collisions(T.families(T.recorded(town.plats(spark, sf_dir))))
+
+
+ENDS_SQL = (
+    PARTS_SQL.strip()
+    + f""", ends AS (
+  SELECT k.key AS core, s.way_id, x0 AS x, y0 AS y, degrees(atan2(-dy, -dx)) AS b FROM keyed k JOIN {WAYS} s USING (way_id)
+  UNION ALL SELECT k.key, s.way_id, x0 + 2 * dx, y0 + dy, 0.0 FROM keyed k JOIN {WAYS} s USING (way_id)
+), folded AS (SELECT core, way_id, x, y, CASE WHEN b < 0 THEN b + 180 ELSE b END % 180 AS b FROM ends),
+pairs AS (
+  SELECT p.way_id AS src, q.way_id AS dst, sqrt((q.x - p.x) * (q.x - p.x) + (q.y - p.y) * (q.y - p.y)) AS d, p.b AS ba, q.b AS bb,
+         degrees(atan2(q.y - p.y, q.x - p.x)) AS t FROM folded p JOIN folded q ON p.core = q.core AND p.way_id < q.way_id
+), gaps AS (
+  SELECT src, dst, d, abs(ba - bb) % 180 AS g1, abs(ba - CASE WHEN t < 0 THEN t + 180 ELSE t END % 180) % 180 AS g2, abs(bb - CASE WHEN t < 0 THEN t + 180 ELSE t END % 180) % 180 AS g3 FROM pairs
+)
+SELECT DISTINCT src, dst FROM gaps WHERE d <= 2000 AND (d < 1 OR greatest(least(g1, 180 - g1), least(g2, 180 - g2), least(g3, 180 - g3)) <= 30)"""
+)
+
+
+@query(ENDS_SQL)
+def alignment_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ways of a core that touch or resume each other along one line."""
+    return L.alignment_links(L.usable_ways(town.ways(spark, sf_dir)), L.PlaceParams())
+
+
+@query(f"""SELECT w.name AS place_id, i.oid, sum(i.m * (t1 - t0)) / any_value(l.m) AS share FROM ({town.INSIDE_SQL}) i JOIN {WAYS} w USING (way_id)
+JOIN (SELECT name, sum(sqrt(dx * dx + dy * dy) + dx) AS m FROM {WAYS} w GROUP BY name) l ON l.name = w.name WHERE t1 > t0 GROUP BY w.name, i.oid""")
+def shares_inside(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _lines(spark, sf_dir)
+    places = lines.groupBy("place_id").agg(F.sum(G.length(F.col("pts"))).alias("street_m"))
+    return M.share_inside(M.clip(lines, T.recorded(town.plats(spark, sf_dir))), places)
+
+
+@query(f"SELECT DISTINCT p.tax_year AS phase, w.name AS place_id FROM ({town.INSIDE_SQL}) i JOIN {WAYS} w USING (way_id) JOIN {PLATS} p USING (oid) WHERE t1 > t0")
+def crossing_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plats = town.plats(spark, sf_dir)
+    return M.crossing(T.recorded(plats).select("oid", F.col("tax_year").alias("phase"), "rings", "box"), _lines(spark, sf_dir))
+
+
+@query(f"SELECT highway, count(*) AS ways, CAST(sum(3) AS BIGINT) AS points, CAST(sum(2) AS BIGINT) AS nodes FROM {WAYS} w GROUP BY highway")
+def class_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.class_counts(town.ways(spark, sf_dir))
+
+
 @query()
 def street_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole decision chain: places, families, clipping, scores, naming, neighbours."""
@@ -292,9 +355,9 @@ def candidate_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.lines(_kept(spark, sf_dir))
 
 
-@query(f"SELECT DISTINCT concat('core', CAST(s_suppkey AS VARCHAR)) AS core FROM supplier WHERE concat('core', CAST(s_suppkey AS VARCHAR)) NOT IN (SELECT core FROM {CANDIDATES} c)")
+@query(f"SELECT DISTINCT concat('core', CAST(s_suppkey * 11 AS VARCHAR)) AS core FROM supplier WHERE concat('core', CAST(s_suppkey * 11 AS VARCHAR)) NOT IN (SELECT core FROM {CANDIDATES} c)")
 def cores_to_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cores = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.concat(F.lit("core"), "s_suppkey").alias("core")).distinct()
+    cores = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.concat(F.lit("core"), (F.col("s_suppkey") * 11).cast("string")).alias("core")).distinct()
     return C.to_search(cores, town.table(spark, sf_dir, "candidates"))
 
 
@@ -457,10 +520,17 @@ def theme_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("theme", F.array_sort(N.theme_words(F.col("theme"))).alias("words"), N.themed(F.col("theme")).alias("themed"), "n")
 
 
-@query()
+@query("""
+WITH named AS (SELECT concat('Plat ', CAST(s_nationkey AS VARCHAR)) AS subdivision, s_name AS place, CASE WHEN s_nationkey % 3 = 0 THEN 'tree names' WHEN s_suppkey % 2 = 0 THEN 'birds' ELSE 'tree species' END AS theme FROM supplier),
+n AS (SELECT subdivision, count(*) AS n, count(*) FILTER (WHERE theme = 'birds') AS birds, count(*) FILTER (WHERE theme <> 'birds') AS trees,
+             arg_min(theme, place) FILTER (WHERE theme <> 'birds') AS tree FROM named GROUP BY subdivision)
+SELECT subdivision, CASE WHEN n < 5 OR least(birds, trees) >= 3 THEN '' WHEN trees > birds THEN tree ELSE 'birds' END AS theme FROM n""")
 def subdivision_themes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = _latest(spark, sf_dir)
-    return E.themes(a.select(F.concat(F.lit("Plat "), F.pmod(F.xxhash64("place"), F.lit(9))).alias("subdivision"), "place", "theme"))
+    """Two groups of themes: trees under one name in each plat, and birds."""
+    k, n = F.col("s_suppkey"), F.col("s_nationkey")
+    theme = F.when(n % 3 == 0, "tree names").when(k % 2 == 0, "birds").otherwise("tree species")
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    return E.themes(s.select(F.concat(F.lit("Plat "), n.cast("string")).alias("subdivision"), F.col("s_name").alias("place"), theme.alias("theme")))
 
 
 @query(f"""SELECT name, CAST(row_number() OVER (ORDER BY [CASE WHEN regexp_full_match(t, '[0-9]+') THEN lpad(t, 18, '0') ELSE t END FOR t IN regexp_extract_all(lower(name), '([0-9]+|[^0-9]+)', 1)], name) AS INT) AS rank
@@ -470,10 +540,16 @@ def natural_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.number(d, "k", "rank").select("name", "rank")
 
 
-@query("SELECT CAST(user_id AS BIGINT) AS batch_id FROM (SELECT DISTINCT user_id FROM events) WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'click')")
+@query("SELECT CAST(user_id AS BIGINT) AS batch_id FROM (SELECT DISTINCT user_id FROM events) WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND value > 90)")
 def orphan_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("batch_id"), "event_type")
-    return R.orphans(e.select("batch_id").distinct(), e.filter("event_type = 'click'"))
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("batch_id"), "event_type", "value")
+    return R.orphans(e.select("batch_id").distinct(), e.filter("event_type = 'purchase' and value > 90"))
+
+
+@query("SELECT arg_min(event_id, (ts, event_id)) AS batch_id, min(ts) AS submitted, 'view' AS digest FROM events WHERE event_type = 'view'")
+def sent_before(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return R.sent_before(e.select(F.col("event_id").alias("batch_id"), F.col("ts").alias("submitted"), F.col("event_type").alias("digest")), "view")
 
 
 @query("SELECT arg_max(event_id, (ts, event_id)) AS batch_id, max(ts) AS submitted FROM events")

@@ -32,12 +32,38 @@ PLATS = {
     "name": f"concat(upper(split_part('{WORDS}', ',', CAST(p_partkey % 12 + 1 AS INT))), ' ', CAST(p_partkey % 300 + 100 AS VARCHAR(20)), ' SUB NO 0', CAST(p_partkey % 3 + 1 AS VARCHAR(20)), CASE WHEN p_partkey % 13 = 0 THEN ' AMD' ELSE '' END)",
     "recorded_ms": "CASE WHEN p_partkey % 11 = 0 THEN NULL ELSE CAST(p_partkey % 300 AS BIGINT) * 9000000000 - 1400000000000 END",
     "tax_year": "CAST(1900 + p_partkey % 120 AS INT)",
-    "x0": "CAST(((p_partkey % 300) % 97) * 4000 + floor(p_partkey / 300.0) * 350 AS DOUBLE)",
+    "x0": "CAST(((p_partkey % 300) % 97) * 4000 + floor(p_partkey / 300.0) * 350 + CASE WHEN floor(p_partkey / 300.0) % 4 = 3 THEN 60000 ELSE 0 END AS DOUBLE)",
     "y0": "CAST(((p_partkey % 300) % 89) * 4000 + p_partkey % 5 * 100 AS DOUBLE)",
-    "x1": "CAST(((p_partkey % 300) % 97) * 4000 + floor(p_partkey / 300.0) * 350 + 400 + p_partkey % 5 * 300 AS DOUBLE)",
+    "x1": "CAST(((p_partkey % 300) % 97) * 4000 + floor(p_partkey / 300.0) * 350 + CASE WHEN floor(p_partkey / 300.0) % 4 = 3 THEN 60000 ELSE 0 END + 400 + p_partkey % 5 * 300 AS DOUBLE)",
     "y1": "CAST(((p_partkey % 300) % 89) * 4000 + p_partkey % 5 * 100 + 600 + p_partkey % 4 * 500 AS DOUBLE)",
 }
 
+_WORD = f"split_part('{WORDS}', ',', CAST(p_partkey % 12 + 1 AS INT))"
+#: Recorded names of six forms, with the naming act, levels and label that each has by its form.
+_FORMS = [
+    ("{W} 3{k} SUB NO 0{k}", "{W} 3{k}", "{k}", "{w} 3{k}, Phase {k}"),
+    ("{W} HEIGHTS 0{k}ND ADD TO RIVERTON", "{W} HEIGHTS 0{k}ND", "", "{w} Heights, {k}nd Addition to Riverton"),
+    ("{W} ESTATES THE SUB UNIT NO 0{k} BLOCK 4", "THE {W} ESTATES BLOCK 4", "{k}", "The {w} Estates, Phase {k} Block 4"),
+    ("A B {W} ACRES PHASE 0{k}A AMD", "A B {W} ACRES", "{k},A", "A. B. {w} Acres, Phase {k}.A"),
+    ("MC{W} CONDO PROJ AREA {k}", "MC{W} CONDO", "", "Mc{w} Condo Area {k}"),
+    ("LITTLE {W} II OF THE PARK SUB", "LITTLE {W} II OF THE PARK", "", "Little {w} II of the Park"),
+]
+
+
+def _form(i: int) -> str:
+    """One column of the forms as SQL over ``part``."""
+
+    def one(text: str) -> str:
+        text = "'" + text + "'"
+        for mark, value in (("{W}", f"upper({_WORD})"), ("{w}", _WORD), ("{k}", "CAST(p_partkey % 8 + 2 AS VARCHAR(20))")):
+            text = text.replace(mark, f"', {value}, '")
+        return f"concat({text})"
+
+    return "CASE CAST(p_partkey % 6 AS INT) " + " ".join(f"WHEN {k} THEN {one(f[i])}" for k, f in enumerate(_FORMS)) + " END"
+
+
+FILINGS = {"oid": "p_partkey", "name": _form(0), "base": _form(1), "levels": _form(2), "label": _form(3)}
+
 #: Facts for the naming rules: one row per (place, plat).
 FACTS = {
     "place_id": "concat('core', CAST(l_orderkey AS VARCHAR(20)), '#0')",
@@ -78,7 +104,7 @@ ANSWERS = {
 }
 
 SOURCES = {
-    "ways": ("orders", WAYS), "plats": ("part", PLATS), "facts": ("lineitem", FACTS), "candidates": ("customer", CANDIDATES),
+    "ways": ("orders", WAYS), "plats": ("part", PLATS), "filings": ("part", FILINGS), "facts": ("lineitem", FACTS), "candidates": ("customer", CANDIDATES),
     "claims": ("customer", CLAIMS), "answered": ("customer", ANSWERED), "answers": ("events", ANSWERS),
 }
 

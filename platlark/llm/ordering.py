@@ -77,6 +77,12 @@ def permute(index: np.ndarray, n: int, key: int, rounds: int = 6) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def two_bytes(ids: np.ndarray) -> np.ndarray:
+    if ids.max() > 0xFFFF:
+        raise ValueError(f"id {ids.max()} does not fit into two bytes")
+    return ids
+
+
 def sequences(docs: DataFrame, doc_id: str, text: str, tokenizer: str, params: OrderParams) -> DataFrame:
     """(task, local, n_tokens, doc_ids, ids_crc32, data): the sequences of each scan task, numbered from 0."""
     kind = docs.schema[doc_id].dataType.simpleString()
@@ -104,9 +110,7 @@ def sequences(docs: DataFrame, doc_id: str, text: str, tokenizer: str, params: O
         for b in (x.slice(i, 500) for x in batches for i in range(0, x.num_rows, 500)):
             id_type, rows = b.column(0).type, []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = np.append(np.frombuffer(encode(t), dtype="<u4"), np.uint32(params.end_id))
-                if ids.max() > 0xFFFF:
-                    raise ValueError(f"id {ids.max()} of document {i} does not fit into two bytes")
+                ids = two_bytes(np.append(np.frombuffer(encode(t), dtype="<u4"), np.uint32(params.end_id)))
                 held.append(ids)
                 owners.append((i, len(ids)))
                 count += len(ids)

@@ -23,6 +23,20 @@ _ALPHA = (
     49561 * _N**4 / 161280,
 )
 
+#: The inverse series, and conformal to geographic latitude, to the same order.
+_BETA = (
+    _N / 2 - 2 * _N**2 / 3 + 37 * _N**3 / 96 - _N**4 / 360,
+    _N**2 / 48 + _N**3 / 15 - 437 * _N**4 / 1440,
+    17 * _N**3 / 480 - 37 * _N**4 / 840,
+    4397 * _N**4 / 161280,
+)
+_DELTA = (
+    2 * _N - 2 * _N**2 / 3 - 2 * _N**3 + 116 * _N**4 / 45,
+    7 * _N**2 / 3 - 8 * _N**3 / 5 - 227 * _N**4 / 45,
+    56 * _N**3 / 15 - 136 * _N**4 / 35,
+    4279 * _N**4 / 630,
+)
+
 
 def to_utm(lon: Column, lat: Column) -> Column:
     """struct(x, y): metres in UTM zone 11 north."""
@@ -37,6 +51,20 @@ def to_utm(lon: Column, lat: Column) -> Column:
     return F.struct((FALSE_EASTING + K0 * _RADIUS * x).alias("x"), (K0 * _RADIUS * y).alias("y"))
 
 
+def to_lonlat(x: Column, y: Column) -> Column:
+    """struct(lon, lat) of a point in UTM zone 11 north."""
+    xi, eta = y / (K0 * _RADIUS), (x - FALSE_EASTING) / (K0 * _RADIUS)
+    north, east = xi, eta
+    for j, b in enumerate(_BETA, 1):
+        north = north - b * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
+        east = east - b * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
+    chi = F.asin(F.sin(north) / F.cosh(east))
+    phi = chi
+    for j, d in enumerate(_DELTA, 1):
+        phi = phi + d * F.sin(2 * j * chi)
+    return F.struct((LON0 + F.degrees(F.atan2(F.sinh(east), F.cos(north)))).alias("lon"), F.degrees(phi).alias("lat"))
+
+
 def length(points: Column) -> Column:
     """Length of a polyline given as array<struct<x, y>>."""
     steps = F.zip_with(

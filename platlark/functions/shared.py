@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -10,11 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temporary folder only where it is unset."""
+    """The cluster's ``spark.checkpoint.dir``; a temporary folder only in local mode, where it is unset."""
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
         folder = sc.getCheckpointDir()
+        if folder is None and not re.fullmatch(r"local(\[[^-]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir is not set: intermediate tables need a folder that all executors share")
         folder = os.path.dirname(folder) if folder else tempfile.mkdtemp(prefix="platlark-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(folder)

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StringType
 
-from platlark.functions import names as N, platnames as P
+from platlark.functions import geometry as G, names as N, platnames as P
 
 ANSWER_FIELDS = ["qid", "label", "confidence", "theme", "reasoning"]
 MIN_THEME_STREETS = 5
@@ -143,9 +143,31 @@ def phases(plats: DataFrame, families: DataFrame, contexts: DataFrame, crossing:
     return g.withColumns({"phase": short_phase(F.col("phase_full"), F.col("subdivision")), "has_streets": (F.size("named") > 0) | (F.size("through") > 0)})
 
 
+def parts_of(rings: Column) -> Column:
+    """Polygons of their rings: a counter-clockwise ring is a hole of the one before."""
+    none = F.array().cast("array<array<array<struct<x: double, y: double>>>>")
+
+    def add(done: Column, ring: Column) -> Column:
+        hole = (G.ring_area(ring) > 0) & (F.size(done) > 0)
+        last = F.array_append(F.element_at(done, -1), ring)
+        return F.when(hole, F.array_append(F.slice(done, F.lit(1), F.size(done) - 1), last)).otherwise(F.array_append(done, F.array(ring)))
+
+    return F.aggregate(rings, none, add)
+
+
 def polygon(rings: Column) -> Column:
-    """GeoJSON geometry of rounded rings; null without any.  Parts are not dissolved into one outline."""
-    clean = F.filter(F.transform(rings, lambda r: without_repeats(rounded(r))), lambda r: F.size(r) > 0)
-    single = F.to_json(F.struct(F.lit("Polygon").alias("type"), clean.alias("coordinates")))
-    many = F.to_json(F.struct(F.lit("MultiPolygon").alias("type"), F.transform(clean, lambda r: F.array(r)).alias("coordinates")))
+    """GeoJSON geometry of rings in metres, rounded; null without any.  Parts are not dissolved into one outline."""
+    spot = lambda p: G.to_lonlat(p["x"], p["y"])
+    shown = lambda ring: without_repeats(rounded(F.transform(ring, spot)))
+    clean = F.transform(parts_of(rings), lambda part: F.filter(F.transform(part, shown), lambda r: F.size(r) > 3))
+    clean = F.filter(clean, lambda part: F.size(part) > 0)
+    single = F.to_json(F.struct(F.lit("Polygon").alias("type"), F.get(clean, F.lit(0)).alias("coordinates")))
+    many = F.to_json(F.struct(F.lit("MultiPolygon").alias("type"), clean.alias("coordinates")))
     return F.when(F.size(clean) == 0, F.lit(None).cast("string")).when(F.size(clean) == 1, single).otherwise(many)
+
+
+def polygon_features(layer: DataFrame, key: str) -> DataFrame:
+    """(place, feature): GeoJSON of each subdivision or phase that has an outline; ``key`` orders them."""
+    props = F.to_json(F.struct(*[c for c in layer.columns if c != "rings"]), {"ignoreNullFields": "false"})
+    d = layer.select(F.col(key).alias("place"), props.alias("p"), polygon(F.col("rings")).alias("g")).filter("g is not null")
+    return d.select("place", F.concat(F.lit('{"type":"Feature","properties":'), "p", F.lit(',"geometry":'), "g", F.lit("}")).alias("feature"))

@@ -145,11 +145,9 @@ def test_guards():
     R.newer_or_same(None, "2024-02-01T00:00:00Z")
 
 
-def test_polygons_and_phases(spark):
-    d = spark.createDataFrame([([[(0.0000011, 0.0), (0.000001, 0.0), (1.0, 1.0)]], "Elm, Phase 2", "Elm")], "rings array<array<struct<lon: double, lat: double>>>, full string, label string")
-    row = d.select(E.polygon(F.col("rings")).alias("g"), E.short_phase(F.col("full"), F.col("label")).alias("s")).first()
-    assert json.loads(row.g) == {"type": "Polygon", "coordinates": [[[0.0, 0.0], [1.0, 1.0]]]}
-    assert row.s == "Phase 2"
+def test_short_phases(spark):
+    d = spark.createDataFrame([("Elm, Phase 2", "Elm"), ("Elm", "Elm"), ("Oak", "Elm")], "full string, label string")
+    assert [r.s for r in d.select(E.short_phase(F.col("full"), F.col("label")).alias("s")).collect()] == ["Phase 2", "Elm", "Oak"]
 
 
 LAT, LON = 43.6, -116.2

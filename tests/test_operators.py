@@ -9,7 +9,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from platlark.functions import geometry as G, platnames as P
-from platlark.operators import answers as A, context as X, export as E, prompts as B, runs as R
+from platlark.operators import answers as A, context as X, export as E, graph, prompts as B, runs as R
 from platlark.operators.graph import connected_components
 from platlark.plans import stages
 from platlark.sources import readers, writers
@@ -122,7 +122,11 @@ def test_components_match_brute_force(spark, pairs):
         parent[max(a, b)] = min(a, b)
     linked = {x for a, b in pairs if a != b for x in (a, b)}
     df = spark.createDataFrame(pairs or [(None, None)], "src long, dst long")
-    assert {r.node: r.component for r in connected_components(df).collect()} == {x: find(x) for x in linked}
+    want = {x: find(x) for x in linked}
+    assert {r.node: r.component for r in connected_components(df).collect()} == want
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(graph, "SMALL_GRAPH", -1)
+        assert {r.node: r.component for r in connected_components(df).collect()} == want
 
 
 def test_answer_tables(spark):

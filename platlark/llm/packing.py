@@ -43,6 +43,8 @@ from platlark.functions.shared import staged
 from platlark.llm import tokens
 
 
+#: Rows that are held as Python objects at a time.
+SLICE = 500
 #: Items of a bin among which pairs are tried.
 SMALL = 8
 
@@ -69,7 +71,7 @@ def pieces(docs: DataFrame, doc_id: str, text: str, tokenizer: str, params: Pack
 
     def run(batches):
         encode = tokens.encoder(tokenizer).encode
-        for b in batches:
+        for b in (x.slice(i, SLICE) for x in batches for i in range(0, x.num_rows, SLICE)):
             at, rows = [], []
             for i, t in enumerate(b.column(1).to_pylist()):
                 data = encode(t) + end

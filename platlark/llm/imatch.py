@@ -14,13 +14,15 @@ hold a term of either text.
 A text without any lexicon term is fingerprinted over all its terms.
 
 Next documents are found without a global window: rows are dealt by ranges of
-descending id, and the first row of each range is sent to the range before as well.
+descending (id, text hash), and the first row of each range is sent to the range before
+as well.  Null ids sort last; as the text's hash takes part, neither they nor the rows of
+one repeated id have to meet in one task.
 
 Defined results
 * null text is the empty text (fingerprint of empty subsets); texts without terms
   are alike to each other (1.0) and to nothing else (0.0).
 * equal texts have equal fingerprints.
-* rows with one id are ordered by their text's hash; null ids come last; a table of
+* rows with one id, and those without, are ordered by their text's hash; null ids come last; a table of
   one row has itself as next document; an empty table gives an empty result.
 * extra columns are ignored.
 """
@@ -144,48 +146,57 @@ def compare_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pa
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t"))
     words = lexicon(rows, "t", params)
+    # among rows of one id the smallest text hash comes first: flipped, it descends like the id
+    rows = rows.withColumn("flip", F.bitwise_not(F.xxhash64("t")))
 
-    # ranges of descending ids, from a bounded sample of ids
+    def place(i, flip) -> tuple:
+        return (0, 0, flip) if i is None else (1, i, flip)
+
+    # bounds of the ranges, from a bounded sample
     total = rows.count()
-    seen = rows.select("id").dropna().sample(min(1.0, 200.0 * n / max(1, total)), 5).limit(1000 * n).collect()
-    seen = sorted(r["id"] for r in seen)
+    seen = rows.select("id", "flip").sample(min(1.0, 200.0 * n / max(1, total)), 5).limit(1000 * n).collect()
+    seen = sorted(place(*r) for r in seen)
     bounds = sorted({seen[len(seen) * i // n] for i in range(1, n)}) if seen else []
 
-    def part_of(i) -> int:
-        return len(bounds) + 1 if i is None else len(bounds) - bisect.bisect_right(bounds, i)
+    def part_of(i, flip) -> int:
+        return len(bounds) - bisect.bisect_right(bounds, place(i, flip))
 
     def parts(batches):
         for b in batches:
-            ids = b.column(0).to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array(map(part_of, ids), pa.int32()), b.column(0)], ["part", "id"])
+            at = map(part_of, b.column(0).to_pylist(), b.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), b.column(0), b.column(1)], ["part", "id", "flip"])
 
-    # the largest id of each range: as many rows as there are ranges
-    heads = {r["part"]: r["id"] for r in rows.select("id").mapInArrow(parts, f"part int, id {kind}").groupBy("part").agg(F.max("id").alias("id")).collect()}
+    # the first row of each range: as many rows as there are ranges
+    top = F.max(F.struct(F.col("id").isNotNull().alias("has"), "id", "flip")).alias("top")
+    found = rows.select("id", "flip").mapInArrow(parts, f"part int, id {kind}, flip long").groupBy("part").agg(top).collect()
+    heads = {r["part"]: place(r["top"]["id"], r["top"]["flip"]) for r in found}
     order = sorted(heads)
     before = {p: order[k - 1] for k, p in enumerate(order)}
 
     def deal(batches):
         pack = zstandard.ZstdCompressor(level=1).compress
-        for b in batches:
+        for b in (x.slice(i, 1000) for x in batches for i in range(0, x.num_rows, 1000)):
             out, at = [], []
-            for k, (i, t) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
+            for k, (i, t, flip) in enumerate(zip(*(c.to_pylist() for c in b.columns), strict=True)):
                 data = pack((t or "").encode())
-                p = part_of(i)
+                p = part_of(i, flip)
                 at.append(k)
                 out.append((p, 0, data))
-                if i == heads[p]:
+                if place(i, flip) == heads[p]:
                     at.append(k)
                     out.append((before[p], 1, data))
             cols = list(zip(*out, strict=True)) if out else [[]] * 3
+            index = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), b.column(0).take(pa.array(at, pa.int64())), pa.array(cols[2], pa.binary())],
-                ["part", "carry", "id", "z"],
+                [pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), b.column(0).take(index), b.column(2).take(index), pa.array(cols[2], pa.binary())],
+                ["part", "carry", "id", "flip", "z"],
             )
 
     dealt = (
-        rows.mapInArrow(deal, f"part int, carry int, id {kind}, z binary")
-        .repartition(n, "part")
-        .sortWithinPartitions("part", "carry", F.desc_nulls_last("id"), F.xxhash64("z"), "z")
+        rows.mapInArrow(deal, f"part int, carry int, id {kind}, flip long, z binary")
+        .repartitionById(len(bounds) + 1, "part")  # a range is a task
+        .sortWithinPartitions("part", "carry", F.desc_nulls_last("id"), F.desc("flip"), "z")
+        .drop("flip")
     )
 
     def run(batches):

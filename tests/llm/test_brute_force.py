@@ -326,14 +326,16 @@ def test_pipeline_against_brute_force(spark, tmp_path):
 
 def test_pipeline_stages_on_odd_tables(spark, tmp_path):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
-    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    schema = "doc_id long, text string, lang string, source string, n_chars long, copy string, n_removed string"
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     long = " ".join(f"w{k}" for k in range(80))
     odd = [(None, long, None, None, None), (None, None, "en", None, 0), (1, long, "en", "s", 1), (1, long, "en", "s", 1), (1, "other " + long[::-1], None, "s", None)]
+    odd = [(*r, "own", "mine") for r in odd]
     for rows in ([], odd):
         docs = spark.createDataFrame(rows, schema)
         for name, stage in corpus_pipeline.STAGES:
             docs = stage(spark, docs, str(tmp_path))
             if name != corpus_pipeline.STAGES[-1][0]:
                 assert docs.columns == [c.split()[0] for c in schema.split(", ")], name
+                assert {(r.copy, r.n_removed) for r in docs.select("copy", "n_removed").collect()} <= {("own", "mine")}, name
         assert (docs.count() > 0) == bool(rows)

@@ -37,7 +37,7 @@ from array import array
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from platlark.functions.shared import staged
 from platlark.llm import tokens
@@ -220,6 +220,12 @@ def _state(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
 
+def _spread(rows: DataFrame, number: Column) -> DataFrame:
+    """Small rows of much work, dealt evenly: partitions are named, so they are not joined for their few bytes."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartitionById(n, F.pmod(number, F.lit(n)).cast("int"))
+
+
 def first_packings(problems: DataFrame, params: PackParams) -> DataFrame:
     """The best-fit packing of each problem (problem, lengths), as the state of its island 0."""
 
@@ -229,7 +235,7 @@ def first_packings(problems: DataFrame, params: PackParams) -> DataFrame:
                 bins = best_fit(list(range(len(lengths))), lengths, params.capacity, [])
                 yield _state([(problem, 0, lengths, [_pack_bins(bins, len(lengths))], len(bins), -(-sum(lengths) // params.capacity))])
 
-    return problems.select("problem", "lengths").mapInArrow(run, STATE)
+    return _spread(problems.select("problem", "lengths"), F.col("problem")).mapInArrow(run, STATE)
 
 
 def epoch(state: DataFrame, params: PackParams, number: int) -> DataFrame:
@@ -237,8 +243,7 @@ def epoch(state: DataFrame, params: PackParams, number: int) -> DataFrame:
     names = [x.split()[0] for x in STATE.split(", ")]
     after = F.pmod(F.col("island") + 1, F.lit(params.islands))
     elite = state.select("problem", after.alias("island"), F.get("people", F.lit(0)).alias("guest"))
-    n = int(state.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    both = state.join(elite, ["problem", "island"]).select(*names, "guest").repartition(n, "problem", "island")
+    both = _spread(state.join(elite, ["problem", "island"]).select(*names, "guest"), F.col("problem") * params.islands + F.col("island"))
 
     def run(batches):
         for b in batches:

@@ -131,6 +131,10 @@ def _tag(kind: str, name: str) -> int:
     return k if kind == "open" else -k
 
 
+_HOLDERS = {_tag("open", x) for x in CONTAINERS - NOT_TEXT}
+_ARTICLES = {_tag("open", x) for x in MAIN}
+
+
 def occurrences(pages: DataFrame, url: str, html: str) -> DataFrame:
     """(host, page, token, n, pos, chars, tag, link): how often and where each token occurs on each page.
 
@@ -235,7 +239,7 @@ class Template:
 
 
 def region(chars: list[float], tags: list[int]) -> tuple[int, int] | None:
-    """The frame tokens that open and close the element with the article's text."""
+    """The frame tokens that open and close the element with the article's text: a container, and none inside an article element."""
     begun: list[int] = []
     pairs: list[tuple[int, int]] = []
     for k, tag in enumerate(tags):
@@ -244,7 +248,8 @@ def region(chars: list[float], tags: list[int]) -> tuple[int, int] | None:
         elif tag < 0 and any(tags[j] == -tag for j in begun):
             while tags[j := begun.pop()] != -tag:
                 pass
-            pairs.append((j, k))
+            if tags[j] in _HOLDERS:
+                pairs.append((j, k))
     held = lambda p: chars[p[1]] - chars[p[0]]
     best, within = None, chars[-1] if chars else 0
     while pairs and within > 0:
@@ -253,6 +258,8 @@ def region(chars: list[float], tags: list[int]) -> tuple[int, int] | None:
         if top is None or held(top) < SHARE * within:
             break
         best, within, pairs = top, held(top), inner
+        if tags[top[0]] in _ARTICLES:
+            break
     return best
 
 

@@ -501,6 +501,8 @@ def test_template_narrows_and_yields_to_markup(spark):
     own = [prose(rng, 80) for _ in range(5)]
     wrap = "<body><div id=w><p>Subscribe now</p><article><p>{}</p><p>Read more below</p></article><div class=list>{}</div></div></body>"
     assert deduced(spark, [wrap.format(x, prose(rng, 20)) for x in own]) == own
+    single = ["<body><article><h1>{}</h1><p>{}</p></article><div>{}</div></body>".format(x[:20], x, x[:9]) for x in own]
+    assert deduced(spark, single) == [" ".join(f"{x[:20]} {x}".split()) for x in own]
     copies = ["<body><div id=a><p>The very same text on all pages</p></div></body>"] * 4
     assert deduced(spark, copies) == ["The very same text on all pages"] * 4
 

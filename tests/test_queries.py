@@ -9,8 +9,6 @@ import pytest
 from platlark.plans.queries import ORACLE, QUERIES
 
 DATA = "/root/testdata/sf0.001"
-#: Recursive SQL over all pairs, or a long chain of stages: run by the driver, too slow for a unit test.
-SLOW = {"place_members", "place_names", "duplicate_cores", "attached_places", "street_contexts", "plat_families"}
 
 
 def plain(v):
@@ -22,7 +20,7 @@ def plain(v):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no driver tables")
-@pytest.mark.parametrize("name", sorted(set(ORACLE) - SLOW))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_matches_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()

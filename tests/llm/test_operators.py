@@ -227,6 +227,11 @@ def test_near_dedup_cuts_overfull_nodes(spark, monkeypatch):
     other = [" ".join(f"y{rng.randrange(10**6)}" for _ in range(100)) for _ in range(30)]
     df = spark.createDataFrame(list(enumerate(texts + other)), "doc_id long, text string")
     assert {r.doc_id for r in neardup.deduplicate(df).collect()} == {0, *range(150, 180)}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 20)  # nodes that go on over several batches
+    try:
+        assert {r.doc_id for r in neardup.deduplicate(df).collect()} == {0, *range(150, 180)}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 def test_near_dedup_defined_cases(spark):

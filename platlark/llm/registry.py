@@ -94,6 +94,17 @@ FROM documents d JOIN counts USING (doc_id), LATERAL (SELECT unnest(range(1, n +
 """
 
 
+#: Base32 of a SHA-1: five hex digits at a time are four letters.
+_BASE32 = "array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (('0x' || substr(s, 5 * (k // 4) + 1, 5))::BIGINT >> (15 - 5 * (k % 4))) % 32 + 1, 1) FOR k IN range(32)], '')"
+OP2_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS s FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY s) AS first FROM p)
+SELECT page_id, strlen(h)::BIGINT AS payload_bytes, {_BASE32} AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+FROM f
+"""
+
+
 def op2_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_read(spark, sf_dir, "pages"))
 
@@ -124,6 +135,7 @@ QUERIES = {
 }
 
 ORACLE: dict[str, str] = {
+    "op2_warc_segments": OP2_SQL,
     "op5_url_rules": OP5_SQL,
     "op8_poisson_mixing": OP8_SQL,
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from platlark.llm import imatch, mixing, native_quality, ordering, packing, simhash, spans, templates, url_rules, warc
+from platlark.llm import imatch, mixing, native_quality, ordering, packing, retention, simhash, spans, templates, url_rules, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -121,6 +121,42 @@ def op4_template_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return templates.main_text(_read(spark, sf_dir, "pages"))
 
 
+def op11_retention_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retention.retention(_read(spark, sf_dir, "clicks"), _read(spark, sf_dir, "clients"))
+
+
+#: CRC-32 of a decimal number: its table of 256 follows from the reversed polynomial.
+_CRC_TABLE = """crc AS (
+  SELECT list(list_reduce([b] || range(8), lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) ORDER BY b) AS t FROM range(256) r(b)
+)"""
+_CRC = "xor(4294967295, list_reduce([4294967295] || [ascii(c)::BIGINT FOR c IN string_split({0}::VARCHAR, '')], lambda x, b: xor(x >> 8, t[xor(x, b) % 256 + 1])))"
+OP11_SQL = f"""
+WITH {_CRC_TABLE}, seen AS (SELECT DISTINCT * FROM clicks WHERE ts IS NOT NULL AND client_id IS NOT NULL),
+hashed AS (SELECT click_id, {_CRC.format("click_id")} AS h FROM (SELECT DISTINCT click_id FROM seen), crc),
+members AS (SELECT client_id, {_CRC.format("client_id")} AS crc FROM (SELECT DISTINCT client_id FROM seen), crc),
+timed AS (
+  SELECT s.client_id, s.ts, s.kind, coalesce(CASE WHEN isfinite(s.value) THEN floor(100 * s.value + 0.5)::BIGINT END, 0) AS cents,
+         coalesce(arrived_at + to_days(CASE WHEN h % 3 = 0 THEN h % 100 ELSE 0 END::INT) < TIMESTAMP '2024-02-01', false) AS early
+  FROM seen s LEFT JOIN hashed USING (click_id)
+), starts AS (
+  SELECT client_id, min(ts) FILTER (early) AS s0, min(ts) AS s1 FROM timed WHERE kind = 'error' GROUP BY client_id
+), weeks AS (
+  SELECT *, floor(datediff('day', DATE '1970-01-01', s0::DATE) / 7)::BIGINT AS w0, floor(datediff('day', DATE '1970-01-01', s1::DATE) / 7)::BIGINT AS w1 FROM starts
+), known AS (
+  SELECT 0 AS state, t.client_id, w0 AS cohort, (epoch_us(ts) - epoch_us(s0)) // 604800000000 AS period, coalesce(w0 <> w1, false) AS moved, cents
+  FROM timed t JOIN weeks USING (client_id) WHERE early AND ts >= s0
+  UNION ALL
+  SELECT 1, t.client_id, w1, (epoch_us(ts) - epoch_us(s1)) // 604800000000, coalesce(w0 <> w1, false), cents
+  FROM timed t JOIN weeks USING (client_id) WHERE ts >= s1
+), visits AS (
+  SELECT state, client_id, cohort, period, bool_or(moved) AS moved, sum(cents) AS cents FROM known GROUP BY ALL
+), segments AS (SELECT client_id, min(source) AS segment FROM clients GROUP BY client_id)
+SELECT state::INT AS state, coalesce(segment, '') AS segment, cohort, period, count(*) AS users, sum(crc)::BIGINT AS users_crc32,
+       sum(moved::INT)::BIGINT AS moved, sum(cents)::BIGINT AS cents
+FROM visits JOIN members USING (client_id) LEFT JOIN segments USING (client_id) GROUP BY ALL
+"""
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_warc_segments": op2_warc_segments,
@@ -132,10 +168,12 @@ QUERIES = {
     "op8_poisson_mixing": op8_poisson_mixing,
     "op9_training_order": op9_training_order,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op11_retention_shards": op11_retention_shards,
 }
 
 ORACLE: dict[str, str] = {
     "op2_warc_segments": OP2_SQL,
     "op5_url_rules": OP5_SQL,
     "op8_poisson_mixing": OP8_SQL,
+    "op11_retention_shards": OP11_SQL,
 }

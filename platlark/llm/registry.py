@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from platlark.llm import imatch, mixing, native_quality, ordering, packing, retention, simhash, spans, templates, url_rules, warc
+from platlark.llm import collocations, imatch, mixing, native_quality, ordering, packing, retention, simhash, spans, templates, url_rules, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -157,6 +157,38 @@ FROM visits JOIN members USING (client_id) LEFT JOIN segments USING (client_id)
 """
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_read(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces),
+totals AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang),
+grams AS (
+  SELECT lang, k, ws[i:i + k - 1] AS ws FROM (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM w), range(1, 6) t(k) WHERE i + k - 1 <= len(ws)
+), f AS (SELECT lang, k, ws, count(*) AS f FROM grams GROUP BY ALL),
+cand AS (SELECT * FROM f WHERE k >= 2 AND f >= 100),
+inner_parts AS (
+  SELECT c.lang, c.ws[i:j] AS ws, max(c.f) AS around FROM cand c, range(1, 6) a(i), range(1, 6) b(j)
+  WHERE j > i AND j <= k AND j - i + 1 < k GROUP BY ALL
+), kept AS (
+  SELECT c.* FROM cand c LEFT JOIN inner_parts p USING (lang, ws) WHERE coalesce(100 * around, 0) < 100 * c.f
+), cuts AS (
+  SELECT c.lang, c.ws, c.f AS a, n, i, x.f AS l, y.f AS r, (1000::HUGEINT * c.f * n) // (x.f::HUGEINT * y.f) AS score
+  FROM kept c, range(1, 5) t(i), totals t2, f x, f y
+  WHERE i < c.k AND t2.lang = c.lang AND x.lang = c.lang AND x.ws = c.ws[1:i] AND y.lang = c.lang AND y.ws = c.ws[i + 1:c.k]
+), best AS (
+  SELECT lang, array_to_string(ws, ' ') AS phrase, a, n, l, r, score FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, ws ORDER BY score, i) = 1
+)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best) WHERE rank <= 2000
+"""
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_warc_segments": op2_warc_segments,
@@ -169,6 +201,7 @@ QUERIES = {
     "op9_training_order": op9_training_order,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
     "op11_retention_shards": op11_retention_shards,
+    "op13_collocations": op13_collocations,
 }
 
 ORACLE: dict[str, str] = {
@@ -176,4 +209,5 @@ ORACLE: dict[str, str] = {
     "op5_url_rules": OP5_SQL,
     "op8_poisson_mixing": OP8_SQL,
     "op11_retention_shards": OP11_SQL,
+    "op13_collocations": OP13_SQL,
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from platlark.llm import collocations, imatch, mixing, native_quality, ordering, packing, retention, simhash, spans, templates, url_rules, warc
+from platlark.llm import collocations, imatch, mixing, native_quality, ordering, packing, retention, simhash, spans, suffix_dedup, templates, url_rules, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -157,6 +157,36 @@ FROM visits JOIN members USING (client_id) LEFT JOIN segments USING (client_id)
 """
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(_read(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
+OP12_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, ''))::BIGINT AS n FROM documents),
+windows AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, n - 49)) AS i FROM d WHERE n >= 50)),
+firsts AS (SELECT s, min(doc_id) AS first FROM windows GROUP BY s HAVING min(doc_id) < max(doc_id)),
+hits AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM windows JOIN firsts USING (s) WHERE first < doc_id),
+runs AS (SELECT doc_id, i, sum((before IS NULL OR i > before + 50)::INT) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM hits),
+spans AS (SELECT doc_id, run, min(i) AS a, max(i) + 50 AS b FROM runs GROUP BY doc_id, run),
+gaps AS (
+  SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS kept_from FROM spans
+), cut AS (
+  SELECT d.doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans,
+         string_agg(substr(h, 2 * kept_from + 1, 2 * (a - kept_from)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS kept
+  FROM gaps JOIN d USING (doc_id) GROUP BY d.doc_id
+)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN cut USING (doc_id)
+"""
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(_read(spark, sf_dir, "documents"))
 
@@ -201,6 +231,7 @@ QUERIES = {
     "op9_training_order": op9_training_order,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
     "op11_retention_shards": op11_retention_shards,
+    "op12_suffix_dedup": op12_suffix_dedup,
     "op13_collocations": op13_collocations,
 }
 
@@ -209,5 +240,6 @@ ORACLE: dict[str, str] = {
     "op5_url_rules": OP5_SQL,
     "op8_poisson_mixing": OP8_SQL,
     "op11_retention_shards": OP11_SQL,
+    "op12_suffix_dedup": OP12_SQL,
     "op13_collocations": OP13_SQL,
 }

@@ -7,9 +7,9 @@ word, so its key is an exact 64-bit number.  It can be frequent only if the phra
 without its last and without its first word are (Apriori), and only if the bucket that
 its key hashes to is full enough; neither test loses a frequent phrase.
 
-1. mappers ``bincount`` buckets into one array of ``2 ** bucket_bits`` places (each
-   mapper's counts are cut at the threshold, which keeps the test safe); the arrays are
-   summed as a tree of two rounds, in blocks.
+1. mappers count keys by bucket in one array (each mapper's counts are cut at the
+   threshold, which keeps the test safe); the arrays are summed as a tree of two rounds,
+   in blocks.  There is about a bucket for each ``bucket_words`` words.
 2. the distinct keys that pass both tests are the candidates.
 3. a minimal perfect hash over them goes to the mappers, which ``bincount`` verified
    slots; a key that is not the one stored at its slot is no candidate.
@@ -21,8 +21,9 @@ counts of its heads from the phrase without the last word and those of its tails
 phrase without the first.
 
 A hash holds at most about a million keys (``slice_keys``).  More keys are dealt into
-slices, and the mappers take one slice after the other, so what is broadcast has a
-fixed size whatever the corpus: one slice, or the bits of the buckets.
+slices, and the mappers take one slice after the other; so are buckets beyond ``2 **
+bucket_bits``.  What is broadcast has a fixed size whatever the corpus: one slice of a
+hash, or the bits of one slice of buckets.
 
 Defined results
 * null and empty texts have no words; a null ``lang`` is ``und``; ids and other columns
@@ -63,7 +64,8 @@ class PhraseParams:
     longest: int = 5
     top: int = 2000
     contained_percent: int = 100
-    bucket_bits: int = 22
+    bucket_words: int = 6
+    bucket_bits: int = 24
     slice_keys: int = 900_000
     chunk_words: int = 250_000
 
@@ -166,14 +168,12 @@ def _blocks(counts: np.ndarray) -> Iterator[pa.RecordBatch]:
     """(block, node, cells) of every block that is not empty."""
     from pyspark import TaskContext
 
-    wide = np.zeros(-(-max(len(counts), 1) // BLOCK) * BLOCK, np.int64)
-    wide[: len(counts)] = counts
-    wide = wide.reshape(-1, BLOCK)
+    wide = np.pad(counts, (0, -len(counts) % BLOCK if len(counts) else BLOCK)).reshape(-1, BLOCK)
     held = np.flatnonzero(wide.any(axis=1))
     node = TaskContext.get().partitionId() % GROUPS
     for part in (held[i : i + 256] for i in range(0, len(held), 256)):
         yield pa.RecordBatch.from_arrays(
-            [pa.array(part.astype(np.int32)), pa.array(np.full(len(part), node, np.int32)), pa.array([_packed(wide[b]) for b in part], pa.binary())],
+            [pa.array(part.astype(np.int32)), pa.array(np.full(len(part), node, np.int32)), pa.array([_packed(wide[b].astype(np.int64)) for b in part], pa.binary())],
             ["block", "node", "cells"],
         )
 
@@ -259,7 +259,7 @@ def _chunks(docs: DataFrame, text: str, lang: str, params: PhraseParams) -> Data
             yield chunk(tag)
 
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")), F.col(text).cast("string").cast("binary"))
-    return staged(rows.mapInArrow(run, "lang string, names binary, at binary"), "chunks")
+    return staged(rows.mapInArrow(run, "lang string, names binary, at binary"), "chunks", "none")
 
 
 def _word_counts(chunks: DataFrame) -> DataFrame:
@@ -282,14 +282,13 @@ def _word_counts(chunks: DataFrame) -> DataFrame:
 
 
 def _slices(keys: DataFrame, key: str, params: PhraseParams) -> tuple[DataFrame, int]:
-    """``keys`` staged with the slice of each, and the number of slices."""
-    keys = staged(keys, "keys")
+    """``keys`` with the slice of each, and the number of slices."""
     n = max(1, -(-keys.count() // params.slice_keys))
     return keys.withColumn("slice", F.pmod(F.xxhash64(key), F.lit(n))), n
 
 
 def _indexed(rows: DataFrame, name: str, key: str, params: PhraseParams, index, ids):
-    """Yields, slice by slice, a broadcast index and the slice's rows with their ``id``."""
+    """Yields, slice by slice, a broadcast index, the slice's rows with their ``id``, how many, and whether it is the last."""
     rows, n = _slices(rows, key, params)
     sc, base = rows.sparkSession.sparkContext, 0
     fields = ", ".join(f"{c} {t}" for c, t in rows.drop("slice").dtypes)
@@ -302,7 +301,7 @@ def _indexed(rows: DataFrame, name: str, key: str, params: PhraseParams, index,
             for b in batches:
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids(sent.value, b.column(at)))], [*b.schema.names, "id"])
 
-        yield sent, staged(own.mapInArrow(numbered, f"{fields}, id long"), name), built.hash.n
+        yield sent, staged(own.mapInArrow(numbered, f"{fields}, id long"), name), built.hash.n, s == n - 1
         base += built.hash.n
         sent.unpersist()
 
@@ -329,32 +328,53 @@ def _word_level(chunks: DataFrame, words: DataFrame, params: PhraseParams) -> tu
     rows = words.filter(F.col("f") >= params.min_count).select("lang", "word", "f", key.alias("key"))
     name = lambda c: [x.encode() for x in c.to_pylist()]
     table, level = chunks.withColumn("w", F.lit(None).cast("binary")), []
-    for sent, part, _ in _indexed(rows, "words", "key", params, lambda c, base: WordIndex(name(c), base), lambda i, c: i.ids(name(c))):
+    for sent, part, _, last in _indexed(rows, "words", "key", params, lambda c, base: WordIndex(name(c), base), lambda i, c: i.ids(name(c))):
         level.append(part)
 
-        def number(batches, sent=sent):
+        def number(batches, sent=sent, last=last):
             for b in batches:
                 for tag, names, at, w in zip(*(c.to_pylist() for c in b.columns), strict=True):
                     own = sent.value.ids([tag.encode() + b"\n" + x for x in zstandard.decompress(names).split(b"\n")])
                     w_new = own[_unpacked(at)].astype(np.int32)
                     w_new = w_new if w is None else np.maximum(_unpacked(w), w_new)
-                    yield pa.RecordBatch.from_arrays([pa.array([tag]), pa.array([names], pa.binary()), pa.array([at], pa.binary()), pa.array([_packed(w_new)], pa.binary())], ["lang", "names", "at", "w"])
+                    cols = {"lang": pa.array([tag]), "names": pa.array([names], pa.binary()), "at": pa.array([at], pa.binary()), "w": pa.array([_packed(w_new)], pa.binary())}
+                    yield pa.RecordBatch.from_pydict({"w": cols["w"]} if last else cols)
 
-        table = staged(table.mapInArrow(number, "lang string, names binary, at binary, w binary"), "wordids")
+        table = staged(table.mapInArrow(number, "w binary" if last else "lang string, names binary, at binary, w binary"), "wordids", "none")
     return _all_slices(level), table.select("w", F.col("w").alias("p"))
 
 
-def _full_buckets(table: DataFrame, length: int, params: PhraseParams) -> np.ndarray:
-    """Whether each bucket of keys may hold a frequent phrase, as packed bits."""
-    bits, least = params.bucket_bits, params.min_count
+@dataclass(frozen=True)
+class _Buckets:
+    """``slices`` times ``2 ** bits`` buckets of keys."""
+
+    bits: int
+    slices: int
+
+    @classmethod
+    def of(cls, n_words: int, params: PhraseParams) -> _Buckets:
+        bits = max(12, (n_words // params.bucket_words).bit_length())
+        return cls(min(bits, params.bucket_bits), 1 << max(0, bits - params.bucket_bits))
+
+    def own(self, keys: np.ndarray, part: int) -> tuple[np.ndarray, np.ndarray]:
+        """Which keys belong to a slice, and their buckets there."""
+        h = _mix(keys, 77)
+        at = np.flatnonzero(h & np.uint64(self.slices - 1) == part) if self.slices > 1 else np.arange(len(keys))
+        return at, (h[at] >> np.uint64(64 - self.bits)).astype(np.int64)
+
+
+def _full_buckets(table: DataFrame, length: int, buckets: _Buckets, part: int, params: PhraseParams) -> np.ndarray:
+    """Whether each bucket of a slice may hold a frequent phrase, as packed bits."""
+    least, kind = params.min_count, np.min_scalar_type(2 * params.min_count)
 
     def run(batches):
-        counts = np.zeros(1 << bits, np.int64)
+        counts = np.zeros(1 << buckets.bits, kind)
         for b in batches:
             for w, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 _, keys = _keys_at(_unpacked(w), _unpacked(p), length)
-                counts += np.bincount((_mix(keys, 77) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
-        yield from _blocks(np.minimum(counts, least))
+                place, n = np.unique(buckets.own(keys, part)[1], return_counts=True)
+                counts[place] = np.minimum(counts[place] + np.minimum(n, least).astype(kind), least)
+        yield from _blocks(counts)
 
     summed = _tree_sum(table.mapInArrow(run, BLOCKS), "buckets")
 
@@ -363,27 +383,31 @@ def _full_buckets(table: DataFrame, length: int, params: PhraseParams) -> np.nda
             full = [np.packbits(_unpacked(c, np.int64) >= least, bitorder="little").tobytes() for c in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(full, pa.binary())], ["block", "full"])
 
-    out = np.zeros((max(1, (1 << bits) // BLOCK), BLOCK // 8), np.uint8)
+    out = np.zeros(((1 << buckets.bits) // BLOCK, BLOCK // 8), np.uint8)
     for block, full in zip(*(c.to_pylist() for c in summed.select("block", "cells").mapInArrow(packed, "block int, full binary").toArrow().columns), strict=True):
         out[block] = np.frombuffer(full, np.uint8)
     return out.reshape(-1)
 
 
-def _candidates(table: DataFrame, length: int, full: np.ndarray, params: PhraseParams) -> DataFrame:
+def _candidates(table: DataFrame, length: int, buckets: _Buckets, params: PhraseParams) -> DataFrame:
     """(key, sid): distinct keys in full buckets, with the id of the phrase without its first word."""
-    bits, sent = params.bucket_bits, table.sparkSession.sparkContext.broadcast(full)
-
-    def run(batches):
-        for b in batches:
-            for w, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                p = _unpacked(p)
-                at, keys = _keys_at(_unpacked(w), p, length)
-                place = (_mix(keys, 77) >> np.uint64(64 - bits)).astype(np.int64)
-                held = (sent.value[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
-                keys, first = np.unique(keys[held], return_index=True)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(p[at[held][first] + 1].astype(np.int64))], ["key", "sid"])
+    found = []
+    for part in range(buckets.slices):
+        sent = table.sparkSession.sparkContext.broadcast(_full_buckets(table, length, buckets, part, params))
 
-    return table.mapInArrow(run, "key long, sid long").groupBy("key").agg(F.min("sid").alias("sid"))
+        def run(batches, sent=sent, part=part):
+            for b in batches:
+                for w, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    p = _unpacked(p)
+                    at, keys = _keys_at(_unpacked(w), p, length)
+                    own, place = buckets.own(keys, part)
+                    own = own[(sent.value[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1]
+                    keys, first = np.unique(keys[own], return_index=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(p[at[own[first]] + 1].astype(np.int64))], ["key", "sid"])
+
+        found.append(staged(table.mapInArrow(run, "key long, sid long").groupBy("key").agg(F.min("sid").alias("sid")), "keys"))
+        sent.unpersist()
+    return _all_slices(found)
 
 
 def _key_index(c, base):
@@ -397,7 +421,7 @@ def _key_ids(index, c):
 def _count(table: DataFrame, length: int, candidates: DataFrame, params: PhraseParams) -> DataFrame:
     """(key, sid, f) of the candidates that reach the threshold: slots are counted in arrays."""
     found = []
-    for sent, part, n in _indexed(candidates, "candidates", "key", params, _key_index, _key_ids):
+    for sent, part, n, _ in _indexed(candidates, "candidates", "key", params, _key_index, _key_ids):
 
         def run(batches, sent=sent, n=n):
             index = sent.value
@@ -415,15 +439,15 @@ def _count(table: DataFrame, length: int, candidates: DataFrame, params: PhraseP
     return _all_slices(found)
 
 
-def _number(table: DataFrame, length: int, frequent: DataFrame, params: PhraseParams, last: bool) -> tuple[DataFrame, DataFrame]:
+def _number(table: DataFrame, length: int, frequent: DataFrame, params: PhraseParams, longest: bool) -> tuple[DataFrame, DataFrame]:
     """The frequent phrases with ids, and the table with each position's phrase of ``length`` words as ``p``."""
     table, level = table.withColumn("q", F.lit(None).cast("binary")), []
-    for sent, part, _ in _indexed(frequent, "phrases", "key", params, _key_index, _key_ids):
+    for sent, part, _, last in _indexed(frequent, "phrases", "key", params, _key_index, _key_ids):
         level.append(part)
-        if last:
+        if longest:
             continue
 
-        def number(batches, sent=sent):
+        def number(batches, sent=sent, last=last):
             for b in batches:
                 for w, p, q in zip(*(c.to_pylist() for c in b.columns), strict=True):
                     words = _unpacked(w)
@@ -431,10 +455,11 @@ def _number(table: DataFrame, length: int, frequent: DataFrame, params: PhrasePa
                     new = np.full(len(words), -1, np.int32)
                     new[at] = sent.value.ids(keys)
                     new = new if q is None else np.maximum(_unpacked(q), new)
-                    yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (w, p, _packed(new))], ["w", "p", "q"])
+                    cols = {"w": w, "q": _packed(new)} if last else {"w": w, "p": p, "q": _packed(new)}
+                    yield pa.RecordBatch.from_pydict({k: pa.array([x], pa.binary()) for k, x in cols.items()})
 
-        table = staged(table.mapInArrow(number, "w binary, p binary, q binary"), "phraseids")
-    return _all_slices(level), table.select("w", F.col("q").alias("p"))
+        table = staged(table.mapInArrow(number, "w binary, q binary" if last else "w binary, p binary, q binary"), "phraseids", "none")
+    return _all_slices(level), table if longest else table.select("w", F.col("q").alias("p"))
 
 
 # ---- scores ----------------------------------------------------------------
@@ -461,13 +486,13 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", params
     chunks = _chunks(docs, text, lang, params)
     words = staged(_word_counts(chunks), "wordcounts")
     totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
+    buckets = _Buckets.of(words.agg(F.sum("f")).first()[0] or 0, params)
     level, table = _word_level(chunks, words, params)
     none = F.array().cast("array<bigint>")
     info = level.select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", none.alias("lefts"), none.alias("rights"))
     infos = []
     for length in range(2, params.longest + 1):
-        full = _full_buckets(table, length, params)
-        frequent = _count(table, length, _candidates(table, length, full, params), params)
+        frequent = _count(table, length, _candidates(table, length, buckets, params), params)
         level, table = _number(table, length, frequent, params, length == params.longest)
         level = level.select("id", "f", "sid", F.shiftright("key", 32).alias("pid"))
         head = info.select(F.col("id").alias("pid"), "lang", "phrase", F.col("f").alias("hf"), "lefts")

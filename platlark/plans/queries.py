@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from platlark.functions import geometry as G, names as N, platnames as P
-from platlark.operators import answers as A, candidates as C, context as X, export as E, measure as M, places as L, plats as T, prompts as B, runs as R
+from platlark.functions.shared import staged
+from platlark.operators import answers as A, candidates as C, chains as H, context as X, export as E, measure as M, overlay as O, places as L, plats as T, prompts as B, runs as R
 from platlark.plans import stages, town
 
 QUERIES: dict = {}
@@ -87,6 +88,86 @@ def ring_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return town.plats(spark, sf_dir).select("oid", F.explode("rings").alias("ring")).select("oid", area.alias("area"), (area > 0).alias("is_hole"))
 
 
+def _outlined(d: DataFrame, key: str) -> DataFrame:
+    """Shells, holes, area and perimeter of each row's rings."""
+    areas = F.transform("rings", G.ring_area)
+    sides = F.transform("rings", G.length)
+    total = lambda v: F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x)
+    n = lambda f: F.size(F.filter(areas, f)).cast("long")
+    return d.select(key, n(lambda a: a < 0).alias("shells"), n(lambda a: a > 0).alias("holes"), (-total(areas)).alias("area"), total(sides).alias("perimeter"))
+
+
+@query(f"""
+SELECT oid, CASE kind WHEN 4 THEN 2 ELSE 1 END AS shells, CASE WHEN kind IN (2, 4) THEN 1 ELSE 0 END AS holes,
+       CASE kind WHEN 2 THEN w * h - 400 WHEN 4 THEN w * h - 3600 + 200 WHEN 5 THEN 2 * w * h - (w - 50) * (h - 30) ELSE w * h END AS area,
+       2 * (w + h) + CASE kind WHEN 2 THEN 80 WHEN 4 THEN 300 WHEN 5 THEN 160 ELSE 0 END AS perimeter
+FROM ({town.sql("odd")}) o""")
+def repaired_plats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rings that cross themselves, holes inside and outside, an island in a hole, shells that overlap."""
+    p = staged(town.odd_plats(spark, sf_dir), "oddplats")
+    return _outlined(O.repaired(p.withColumn("box", G.bbox(F.flatten("rings")))), "oid")
+
+
+_BASE = "concat(split_part(name, ' ', 1), ' ', split_part(name, ' ', 2))"
+
+
+@query(f"""
+WITH p AS (SELECT {_BASE} AS base, x0, y0, x1, y1 FROM {PLATS} p),
+xs AS (SELECT base, x AS a, lead(x) OVER (PARTITION BY base ORDER BY x) AS b, row_number() OVER (PARTITION BY base ORDER BY x) AS i FROM (SELECT base, x0 AS x FROM p UNION SELECT base, x1 FROM p)),
+ys AS (SELECT base, y AS c, lead(y) OVER (PARTITION BY base ORDER BY y) AS d, row_number() OVER (PARTITION BY base ORDER BY y) AS j FROM (SELECT base, y0 AS y FROM p UNION SELECT base, y1 FROM p)),
+full_cells AS (SELECT DISTINCT base, i, j, b - a AS w, d - c AS h FROM xs JOIN ys USING (base) JOIN p USING (base) WHERE x0 <= a AND b <= x1 AND y0 <= c AND d <= y1),
+sides AS (
+  SELECT f.base, f.w * f.h AS area,
+         CASE WHEN l.i IS NULL THEN f.h ELSE 0 END + CASE WHEN r.i IS NULL THEN f.h ELSE 0 END + CASE WHEN u.i IS NULL THEN f.w ELSE 0 END + CASE WHEN o.i IS NULL THEN f.w ELSE 0 END AS edge
+  FROM full_cells f LEFT JOIN full_cells l ON l.base = f.base AND l.i = f.i - 1 AND l.j = f.j LEFT JOIN full_cells r ON r.base = f.base AND r.i = f.i + 1 AND r.j = f.j
+  LEFT JOIN full_cells u ON u.base = f.base AND u.i = f.i AND u.j = f.j - 1 LEFT JOIN full_cells o ON o.base = f.base AND o.i = f.i AND o.j = f.j + 1
+)
+SELECT base, sum(area) AS area, sum(edge) AS perimeter FROM sides GROUP BY base""")
+def dissolved_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One outline around the rectangles of each naming act, which overlap, touch and lie apart."""
+    p = T.recorded(town.plats(spark, sf_dir))
+    return _outlined(O.dissolved(p.select("oid", "base", "rings"), "base"), "base").select("base", "area", "perimeter")
+
+
+def _pieces(spark: SparkSession, sf_dir: str, step: float) -> DataFrame:
+    """Pieces of 100 m a step apart, and branches of 100 m at their start."""
+    d = town.table(spark, sf_dir, "pieces").distinct()
+    x, off = F.col("n") * F.lit(step), F.col("off")
+    at = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    return d.select("place_id", (F.lit(100.0) + F.col("n") % 7).alias("m"), at(x, F.lit(0)).alias("a"), at(x + 100 * (1 - off), 100 * off).alias("b"))
+
+
+@query(f"""
+WITH RECURSIVE p AS (SELECT place_id, n * 2 + off AS id, 100.0 + n % 7 AS m, n * 100.0::DOUBLE AS ax, 0.0::DOUBLE AS ay, (n + 1 - off) * 100.0::DOUBLE AS bx, off * 100.0::DOUBLE AS cy FROM (SELECT DISTINCT * FROM ({town.sql("pieces")}) q)),
+ends AS (SELECT place_id, id, ax AS x, ay AS y FROM p UNION ALL SELECT place_id, id, bx, cy FROM p),
+joints AS (SELECT place_id, x, y, min(id) AS u, max(id) AS v FROM ends GROUP BY ALL HAVING count(*) = 2),
+e AS (SELECT place_id, u, v FROM joints UNION ALL SELECT place_id, v, u FROM joints),
+reach AS (SELECT place_id, id AS u, id AS v FROM p UNION SELECT r.place_id, r.u, e.v FROM reach r JOIN e ON e.place_id = r.place_id AND e.u = r.v),
+chain AS (SELECT place_id, u AS id, min(v) AS chain FROM reach GROUP BY place_id, u),
+free AS (SELECT place_id, chain, min([x, y]) AS a, max([x, y]) AS b FROM ends JOIN chain USING (place_id, id) WHERE (place_id, x, y) NOT IN (SELECT (place_id, x, y) FROM joints) GROUP BY ALL),
+whole AS (SELECT place_id, chain, sum(m) AS m FROM p JOIN chain USING (place_id, id) GROUP BY ALL)
+SELECT place_id, m::DOUBLE AS m, a[1]::DOUBLE AS ax, a[2]::DOUBLE AS ay, b[1]::DOUBLE AS bx, b[2]::DOUBLE AS cy FROM whole JOIN free USING (place_id, chain)""")
+def street_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unbroken stretches: pieces joined where just two meet."""
+    d = H.stretches(_pieces(spark, sf_dir, 100.0), ["place_id"])
+    return d.select("place_id", "m", F.col("a.x").alias("ax"), F.col("a.y").alias("ay"), F.col("b.x").alias("bx"), F.col("b.y").alias("cy"))
+
+
+@query(f"""
+WITH p AS (SELECT place_id, n, off, 100.0 + n % 7 AS m FROM (SELECT DISTINCT * FROM ({town.sql("pieces")}) q)),
+-- a piece's far end is 50 m before the next one's start; a branch's only near end is at its own start
+spots AS (SELECT place_id, n, sum(m) AS m, bool_or(off = 0) AS ahead FROM p GROUP BY ALL),
+runs AS (SELECT *, sum(CASE WHEN before IS NULL OR before < n - 1 OR NOT passed THEN 1 ELSE 0 END) OVER (PARTITION BY place_id ORDER BY n) AS run
+         FROM (SELECT *, lag(n) OVER w AS before, lag(ahead) OVER w AS passed FROM spots WINDOW w AS (PARTITION BY place_id ORDER BY n))),
+long AS (SELECT place_id, run, sum(m) AS m FROM runs GROUP BY ALL)
+SELECT place_id, max(l.m)::DOUBLE AS run_m, (SELECT max(m) FROM p WHERE p.place_id = l.place_id)::DOUBLE AS longest_m FROM long l GROUP BY place_id""")
+def longest_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The longest run of each street over gaps of up to 60 m, and its longest piece."""
+    p = _pieces(spark, sf_dir, 150.0)
+    key = ["place_id"]
+    return H.longest_runs(p, key, 60.0).join(H.longest_runs(p, key, 0.0).withColumnRenamed("run_m", "longest_m"), key)
+
+
 PLACES_SQL = (
     PARTS_SQL.strip()
     + f""", pts AS ({town.POINTS_SQL}),

@@ -103,8 +103,21 @@ ANSWERS = {
     "theme": f"split_part('{THEMES}', ',', CAST(event_id % 7 + 1 AS INT))",
 }
 
+#: Pieces of streets in plats: some of a row of places each, and short ones that branch off.
+PIECES = {"place_id": "concat('street', CAST(l_suppkey AS VARCHAR(20)))", "n": "l_orderkey % 997", "off": "CASE WHEN l_linenumber = 1 AND l_orderkey % 997 % 5 = 0 THEN 1 ELSE 0 END"}
+
+#: Plats whose rings need a second look, by kind: plain, a figure-eight, with a hole, with a hole outside, with an island in a hole, of two shells that overlap.
+ODD = {
+    "oid": "p_partkey",
+    "kind": "CAST(p_partkey % 6 AS INT)",
+    "x": "CAST(p_partkey % 1000 * 1000 AS DOUBLE)",
+    "y": "CAST(floor(p_partkey / 1000.0) * 1000 AS DOUBLE)",
+    "w": "CAST(100 + p_partkey % 7 * 10 AS DOUBLE)",
+    "h": "CAST(80 + p_partkey % 5 * 10 AS DOUBLE)",
+}
+
 SOURCES = {
-    "ways": ("orders", WAYS), "plats": ("part", PLATS), "filings": ("part", FILINGS), "facts": ("lineitem", FACTS), "candidates": ("customer", CANDIDATES),
+    "pieces": ("lineitem", PIECES), "odd": ("part", ODD), "ways": ("orders", WAYS), "plats": ("part", PLATS), "filings": ("part", FILINGS), "facts": ("lineitem", FACTS), "candidates": ("customer", CANDIDATES),
     "claims": ("customer", CLAIMS), "answered": ("customer", ANSWERED), "answers": ("events", ANSWERS),
 }
 
@@ -141,6 +154,31 @@ def plats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("oid", "ord", "name", "recorded_ms", "tax_year", F.array(ring).alias("rings"))
 
 
+def _box(x, y, w, h):
+    """A clockwise rectangle."""
+    return F.array(_point(x, y), _point(x, y + h), _point(x + w, y + h), _point(x + w, y), _point(x, y))
+
+
+def odd_plats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plats with rings of every kind of ``ODD``."""
+    x, y, w, h = (F.col(c) for c in "xywh")
+    hole = lambda *a: F.reverse(_box(*a))
+    n = lambda v: F.lit(float(v))
+    eight = F.array(_point(x, y), _point(x, y + h), _point(x + w, y + h), _point(x + w, y - h), _point(x + 2 * w, y - h), _point(x + 2 * w, y), _point(x, y))
+    rings = [
+        F.array(_box(x, y, w, h)),
+        F.array(eight),
+        F.array(_box(x, y, w, h), hole(x + 10, y + 10, n(20), n(20))),
+        F.array(_box(x, y, w, h), hole(x + 10, y + 400, n(20), n(20))),
+        F.array(_box(x, y, w, h), hole(x + 10, y + 10, n(60), n(60)), _box(x + 15, y + 12, n(20), n(10))),
+        F.array(_box(x, y, w, h), _box(x + 50, y + 30, w, h)),
+    ]
+    made = F.lit(None)
+    for k, r in enumerate(rings):
+        made = F.when(F.col("kind") == k, r).otherwise(made)
+    return table(spark, sf_dir, "odd").select("oid", "kind", made.alias("rings"))
+
+
 #: Corners of the ways and their segments, as SQL common to both engines.
 POINTS_SQL = f"""
 SELECT way_id, 1 AS i, x0 AS x, y0 AS y FROM ({sql("ways")}) w

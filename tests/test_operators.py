@@ -92,13 +92,6 @@ def piece(m, a, b):
     return {"m": m, "a": {"x": a[0], "y": a[1]}, "b": {"x": b[0], "y": b[1]}}
 
 
-def test_longest_run():
-    ps = [piece(10, (0, 0), (10, 0)), piece(5, (50, 0), (55, 0)), piece(12, (500, 0), (512, 0))]
-    assert X.longest_run(ps, 0) == 12
-    assert X.longest_run(ps, 60) == 15
-    assert X.longest_run([], 60) == 0
-
-
 def test_one_theme():
     words = {"birds": ["bird"], "bird species": ["bird", "spec"], "trees": ["tree"], "gems": ["gem"]}
     theme = lambda *t: E.one_theme(list(t), [words[x] for x in t])

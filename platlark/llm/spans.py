@@ -1,10 +1,11 @@
 """Substring dedup: repeated runs of consecutive sentences are removed after their first place.
 
-Every run of consecutive sentences that is long enough (``RUNS``: at least three
-sentences and 8 words, two and 16, or one and 40) is hashed over its words,
-lower-cased.  Runs are joined by hash over the whole corpus; the first place of a
-run is the one with the smallest (id, sentence number).  A sentence covered by any
-other place of a repeated run is removed, together with the white space after it.
+Every run of three consecutive sentences is hashed over its words, lower-cased, and so
+are shorter ones that are long enough by themselves (``RUNS``: two sentences with 16
+words, one with 40); longer repeats are covered by those of three.  Runs are joined by
+hash over the whole corpus; the first place of a run is the one with the smallest (id,
+text hash, sentence number).  A sentence covered by any other place of a repeated run is
+removed, together with the white space after it.
 
 Runs are hashed once and staged.  The first place is found by an aggregation with
 map-side minima and joined back; runs that hold more than a thousandth of all places
@@ -16,7 +17,8 @@ Sentences end after ``.``, ``!`` or ``?`` before white space, and at line ends.
 Defined results
 * null and empty texts have no sentences and come back unchanged.
 * of equal texts the one with the smallest id keeps its runs.
-* rows that share an id count as one document; rows with a null id are neither
+* a row is a document: of rows that share an id each has places of its own; only rows
+  equal in id and text are one, and keep the same.  Rows with a null id are neither
   compared nor changed.
 * extra columns are carried, ``n_sentences`` and ``n_removed`` replace columns of
   those names; an empty table gives an empty result.
@@ -29,13 +31,13 @@ import struct
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from platlark.functions.shared import staged
 from platlark.llm.joins import spread_join
 
-#: Sentences in a run -> fewest words that make it a run.
-RUNS = {1: 40, 2: 16, 3: 8}
+#: Sentences in a run -> fewest words that make it a run; three sentences always are one.
+RUNS = {1: 40, 2: 16, 3: 0}
 _GAP = re.compile(r"(?<=[.!?])[ \t\r\f\v\n]+|\n+")
 
 
@@ -68,29 +70,35 @@ def runs(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def text_hash(text: Column) -> Column:
+    """Tells rows of one id apart."""
+    return F.xxhash64(text)
+
+
 def find_repeats(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(id, places): for each document the runs (sentence * 4 + length) to remove."""
+    """(id, th, places): for each document the runs (sentence * 4 + length) to remove; th: its text's hash."""
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def hashed(batches):
         for b in (x.slice(i, 500) for x in batches for i in range(0, x.num_rows, 500)):
             at, rows = [], []
-            for i, t in enumerate(b.column(1).to_pylist()):
+            for i, t in enumerate(b.column(2).to_pylist()):
                 for digest, first, n in runs(t):
                     at.append(i)
                     rows.append((*struct.unpack("<qq", digest), first * 4 + n))
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 3
+            own = [b.column(k).take(pa.array(at, pa.int64())) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(at, pa.int64())), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32())],
-                ["id", "h", "g", "place"],
+                [*own, pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32())],
+                ["id", "th", "h", "g", "place"],
             )
 
-    own = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t")).filter("id is not null and t <> ''")
-    spans = staged(own.mapInArrow(hashed, f"id {kind}, h long, g long, place int"), "runs", "zstd")
-    first = spans.groupBy("h", "g").agg(F.min(F.struct("id", "place")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    own = docs.select(F.col(doc_id).alias("id"), text_hash(F.col(text)).alias("th"), F.col(text).alias("t")).filter("id is not null and t <> ''")
+    spans = staged(own.mapInArrow(hashed, f"id {kind}, th long, h long, g long, place int"), "runs", "zstd")
+    first = spans.groupBy("h", "g").agg(F.min(F.struct("id", "th", "place")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     first = staged(first, "repeated")
-    later = spread_join(spans, first, ["h", "g"], "n").filter((F.col("first.id") != F.col("id")) | (F.col("first.place") != F.col("place")))
-    return later.groupBy("id").agg(F.collect_set("place").alias("places"))
+    later = spread_join(spans, first, ["h", "g"], "n").filter("first.id <> id or first.th <> th or first.place <> place")
+    return later.groupBy("id", "th").agg(F.collect_set("place").alias("places"))
 
 
 def strip(text: str, places) -> tuple[str, int, int]:
@@ -109,12 +117,16 @@ def strip(text: str, places) -> tuple[str, int, int]:
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with repeated passages taken out of ``text``, and n_sentences, n_removed."""
     names = [c for c in docs.columns if c not in ("n_sentences", "n_removed")]
-    found = find_repeats(docs, doc_id, text).withColumnRenamed("id", "__s_id")
-    rows = docs.select(*[F.col(f"`{c}`") for c in names]).join(found, F.col(doc_id) == F.col("__s_id"), "left").drop("__s_id")
+    found = find_repeats(docs, doc_id, text).withColumnsRenamed({"id": "__s_id", "th": "__s_th", "places": "__s_places"})
+    own = docs.select(*[F.col(f"`{c}`") for c in names])
+    same = (F.col(doc_id) == F.col("__s_id")) & (text_hash(F.col(text)) == F.col("__s_th"))
+    rows = own.filter(F.col(doc_id).isNotNull()).join(found, same, "left").drop("__s_id", "__s_th")
+    # rows without an id meet nothing, so they stay where they are
+    rows = rows.unionByName(own.filter(F.col(doc_id).isNull()).withColumn("__s_places", F.lit(None).cast("array<int>")))
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
 
     def run(batches):
-        for b in batches:
+        for b in (x.slice(i, 500) for x in batches for i in range(0, x.num_rows, 500)):
             col = names.index(text)
             texts, places = b.column(col).to_pylist(), b.column(len(names)).to_pylist()
             done = [strip(t, p) if t and p else (t, len(sentences(t)) if t else 0, 0) for t, p in zip(texts, places, strict=True)]

@@ -389,23 +389,71 @@ def _full_buckets(table: DataFrame, length: int, buckets: _Buckets, part: int, p
     return out.reshape(-1)
 
 
+#: Keys that a task holds before it hands them on.
+HELD = 1_000_000
+
+
+def _distinct(keys: list[np.ndarray], sids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    own, first = np.unique(np.concatenate(keys), return_index=True)
+    return own, np.concatenate(sids)[first]
+
+
+def _key_parts(keys: np.ndarray, sids: np.ndarray, parts: int) -> pa.RecordBatch:
+    """(part, n, keys): distinct keys in order with their ids, packed for the part that a key's hash names."""
+    part = (_mix(keys, 78) % np.uint64(parts)).astype(np.int32)
+    order = np.argsort(part, kind="stable")
+    cuts = np.searchsorted(part[order], np.arange(parts + 1))
+    held = [(k, order[a:b]) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+    packed = [zstandard.compress(np.diff(keys[at], prepend=np.uint64(0)).tobytes() + sids[at].astype(np.int32).tobytes(), 1) for _, at in held]
+    return pa.RecordBatch.from_arrays([pa.array([k for k, _ in held], pa.int32()), pa.array([len(at) for _, at in held], pa.int32()), pa.array(packed, pa.binary())], ["part", "n", "keys"])
+
+
 def _candidates(table: DataFrame, length: int, buckets: _Buckets, params: PhraseParams) -> DataFrame:
-    """(key, sid): distinct keys in full buckets, with the id of the phrase without its first word."""
-    found = []
+    """(key, sid): distinct keys in full buckets, with the id of the phrase without its first word.
+
+    A task tells its keys apart before it hands them on.
+    """
+    spark, found = table.sparkSession, []
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     for part in range(buckets.slices):
-        sent = table.sparkSession.sparkContext.broadcast(_full_buckets(table, length, buckets, part, params))
+        sent = spark.sparkContext.broadcast(_full_buckets(table, length, buckets, part, params))
 
         def run(batches, sent=sent, part=part):
+            keys, sids, n = [], [], 0
             for b in batches:
                 for w, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                     p = _unpacked(p)
-                    at, keys = _keys_at(_unpacked(w), p, length)
-                    own, place = buckets.own(keys, part)
-                    own = own[(sent.value[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1]
-                    keys, first = np.unique(keys[own], return_index=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(p[at[own[first]] + 1].astype(np.int64))], ["key", "sid"])
-
-        found.append(staged(table.mapInArrow(run, "key long, sid long").groupBy("key").agg(F.min("sid").alias("sid")), "keys"))
+                    at, own = _keys_at(_unpacked(w), p, length)
+                    held, place = buckets.own(own, part)
+                    held = held[(sent.value[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1]
+                    keys.append(own[held])
+                    sids.append(p[at[held] + 1])
+                    n += len(held)
+                    if n > 2 * HELD:
+                        k, s = _distinct(keys, sids)
+                        keys, sids, n = [k], [s], len(k)
+                        if n > HELD:
+                            yield _key_parts(k, s, parts)
+                            keys, sids, n = [], [], 0
+            if n:
+                yield _key_parts(*_distinct(keys, sids), parts)
+
+        def meet(batches):
+            keys, sids = [], []
+            for b in batches:
+                for n, packed in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                    raw = zstandard.decompress(packed)
+                    keys.append(np.cumsum(np.frombuffer(raw, np.uint64, n), dtype=np.uint64))
+                    sids.append(np.frombuffer(raw, np.int32, n, 8 * n))
+                    if len(keys) > 64:
+                        keys, sids = ([x] for x in _distinct(keys, sids))
+            if keys:
+                k, s = _distinct(keys, sids)
+                for i in range(0, len(k), 100_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(k[i : i + 100_000].view(np.int64)), pa.array(s[i : i + 100_000].astype(np.int64))], ["key", "sid"])
+
+        dealt = table.mapInArrow(run, "part int, n int, keys binary").repartitionById(parts, "part")
+        found.append(staged(dealt.mapInArrow(meet, "key long, sid long"), "keys"))
         sent.unpersist()
     return _all_slices(found)
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from platlark.functions import geometry as G, names as N, platnames as P
 from platlark.functions.shared import staged
-from platlark.operators import answers as A, candidates as C, chains as H, context as X, export as E, measure as M, overlay as O, places as L, plats as T, prompts as B, runs as R
+from platlark.operators import answers as A, candidates as C, chains as H, context as X, export as E, measure as M, overlay as O, places as L, plats as T, prompts as B, reports as Y, runs as R
 from platlark.plans import stages, town
 
 QUERIES: dict = {}
@@ -398,7 +398,47 @@ def peer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT len(v) AS n, v[len(v) // 2 + 1] AS median, v[CAST(floor(len(v) * 0.9) AS INT) + 1] AS p90, v[-1] AS max FROM l""")
 def naming_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = X.naming_plats(_scored(spark, sf_dir)).groupBy("base").agg(F.count(F.lit(1)).alias("n"))
-    return X.spread_of(n, "n")
+    d = Y.spread(n.select(F.lit("places").alias("line"), F.col("n").alias("v")))
+    return d.select("n", *[F.col(c).cast("long").alias(c) for c in ("median", "p90", "max")])
+
+
+_SIZES = {c: f"CAST(count(*) FILTER (WHERE l_linenumber % 4 = {k}) AS BIGINT)" for k, c in enumerate(Y.NEIGHBOURS)}
+CONTEXT_SQL = f"""
+WITH c AS (
+  SELECT l_orderkey AS k, {", ".join(f"{e} AS {c}" for c, e in _SIZES.items())}, l_orderkey % 5 <> 0 AS analysed, CASE WHEN l_orderkey % 3 > 0 THEN 'PLAT' END AS naming_plat,
+         CASE WHEN l_orderkey % 3 > 0 THEN round(l_orderkey % 997 / 997.0, 3)::DOUBLE END AS confidence, CAST(l_orderkey % 4 AS INT) AS contenders
+  FROM lineitem GROUP BY l_orderkey
+)"""
+
+
+def _measured_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A place for each order, its neighbours counted from the order's lines."""
+    k = F.col("l_orderkey")
+    named = k % 3 > 0
+    d = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_orderkey").agg(*[F.count_if(F.col("l_linenumber") % 4 == i).alias(c) for i, c in enumerate(Y.NEIGHBOURS)])
+    return d.select(
+        *Y.NEIGHBOURS, (k % 5 != 0).alias("analysed"), F.when(named, "PLAT").alias("naming_plat"),
+        F.when(named, F.round(k % 997 / F.lit(997.0), 3)).alias("confidence"), (k % 4).cast("int").alias("contenders"),
+    )
+
+
+@query(CONTEXT_SQL + f""", v AS (
+  {" UNION ALL ".join(f"SELECT '{c}' AS line, {c}::DOUBLE AS v FROM c WHERE analysed" for c in Y.NEIGHBOURS)}
+  UNION ALL SELECT 'total', ({" + ".join(Y.NEIGHBOURS)})::DOUBLE FROM c WHERE analysed UNION ALL SELECT 'confidence', confidence FROM c WHERE analysed AND confidence IS NOT NULL
+), l AS (SELECT line, list(v ORDER BY v) AS v FROM v GROUP BY line)
+SELECT line, len(v) AS n, v[len(v) // 2 + 1] AS median, v[CAST(floor(len(v) * 0.9) AS INT) + 1] AS p90, v[-1] AS max FROM l""")
+def context_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Median, 90th percentile and largest of every kind of neighbour and of the confidence."""
+    return Y.context_spread(_measured_contexts(spark, sf_dir))
+
+
+@query(CONTEXT_SQL + """, s AS (
+  SELECT count(*)::DOUBLE AS n, count(naming_plat)::DOUBLE AS named, count(*) FILTER (WHERE contenders > 1)::DOUBLE AS open, count(confidence)::DOUBLE AS judged,
+         count(*) FILTER (WHERE confidence < 0.5)::DOUBLE AS unsure FROM c WHERE analysed
+) SELECT 'analysed' AS line, n AS value FROM s UNION ALL SELECT 'named', named FROM s UNION ALL SELECT 'named_share', named / n FROM s UNION ALL SELECT 'several_plats', open FROM s
+UNION ALL SELECT 'several_plats_share', open / n FROM s UNION ALL SELECT 'under_half_share', unsure / judged FROM s""")
+def context_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Y.context_figures(_measured_contexts(spark, sf_dir))
 
 
 CLAIMS_SQL = f"SELECT replace(item, 'http://kb.example.org/entity/', '') AS qid, list_sort(list(DISTINCT replace(type, 'http://kb.example.org/entity/', '')) FILTER (WHERE type <> '')) AS types FROM {CLAIMS} c GROUP BY item"
@@ -583,6 +623,23 @@ def street_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _streets(spark, sf_dir).select("place", "street", "core", "places_with_core", "qid", "theme", "status", "not_asked_because", "subdivision", "plat_year", "plat_era", "category")
 
 
+@query(STREETS_SQL + """, a AS (SELECT DISTINCT place FROM latest), s AS (
+  SELECT (SELECT count(*) FROM a)::DOUBLE AS answers, count(*)::DOUBLE AS n, count(*) FILTER (WHERE status = 'answered')::DOUBLE AS answered, (SELECT count(*) FROM a WHERE place NOT IN (SELECT place FROM shown))::DOUBLE AS lost,
+         count(*) FILTER (WHERE subdivision <> '')::DOUBLE AS named, count(*) FILTER (WHERE category NOT IN ('ENTITY', 'INVENTED', 'PERSONAL'))::DOUBLE AS odd FROM shown
+) SELECT 'answers' AS line, answers AS value FROM s UNION ALL SELECT 'features', n FROM s UNION ALL SELECT 'answered', answered FROM s UNION ALL SELECT 'not_asked', n - answered FROM s
+UNION ALL SELECT 'answered_without_shape', lost FROM s UNION ALL SELECT 'with_subdivision', named FROM s UNION ALL SELECT 'without_subdivision', n - named FROM s UNION ALL SELECT 'unknown_category', odd FROM s""")
+def layer_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a drawn layer holds: answered and unasked streets, answers without a shape, categories beyond three known ones."""
+    return Y.layer_figures(_streets(spark, sf_dir), _latest(spark, sf_dir), ["ENTITY", "INVENTED", "PERSONAL"])
+
+
+@query(KEPT_SQL.strip() + f""", s AS (SELECT (SELECT count(DISTINCT core) FROM {CANDIDATES} c)::DOUBLE AS cores, (SELECT count(*) FROM {CANDIDATES} c)::DOUBLE AS n, count(DISTINCT core)::DOUBLE AS cores_left, count(*)::DOUBLE AS n_left FROM kept)
+SELECT 'cores' AS line, cores AS value FROM s UNION ALL SELECT 'cores_left', cores_left FROM s UNION ALL SELECT 'candidates', n FROM s UNION ALL SELECT 'left', n_left FROM s
+UNION ALL SELECT 'dropped', n - n_left FROM s UNION ALL SELECT 'dropped_share', (n - n_left) / n FROM s""")
+def candidate_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Y.candidate_figures(town.table(spark, sf_dir, "candidates"), _kept(spark, sf_dir))
+
+
 @query(STREETS_SQL + "SELECT 'category' AS field, category AS value, count(*) AS n FROM shown GROUP BY ALL UNION ALL SELECT 'plat_era', plat_era, count(*) FROM shown GROUP BY ALL")
 def street_legend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.legend(_streets(spark, sf_dir))

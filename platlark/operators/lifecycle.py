@@ -8,6 +8,7 @@ object is handed in as ``transport``, with ``post(requests)``, ``batches()``,
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Iterable
 from typing import Protocol
 
@@ -50,6 +51,9 @@ class Folder:
         self.fs.delete(self._at(name), False)
 
     def read(self, name: str) -> bytes:
+        """A file's content; that of the old one while a new one is put in place."""
+        if not self.holds(name) and self.holds(f".{name}.old"):
+            name = f".{name}.old"
         size = self.fs.getFileStatus(self._at(name)).getLen()
         stream = self.fs.open(self._at(name))
         try:
@@ -57,20 +61,46 @@ class Folder:
         finally:
             stream.close()
 
+    def create(self, name: str, content: bytes = b"") -> None:
+        """A small file that was not there: of several writers one succeeds, the others get an error."""
+        from py4j.protocol import Py4JJavaError
+
+        try:
+            stream = self.fs.create(self._at(name), False)
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" in e.java_exception.getClass().getName() or self.holds(name):
+                raise FileExistsError(name) from e
+            raise
+        try:
+            stream.write(bytearray(content))
+        finally:
+            stream.close()
+
     def write(self, name: str, blocks: Iterable[bytes], over: bool = True) -> None:
-        """All blocks or nothing; without ``over`` an existing file stays and is an error."""
+        """All blocks or nothing; without ``over`` an existing file stays and is an error.
+
+        The old file steps aside before the new one takes its place and comes back if that
+        fails, so one of them is always there under its name or as ``.old``.
+        """
         if self.holds(name) and not over:
             raise FileExistsError(name)
-        part = self._at(f".{name}.part")
+        part, old = self._at(f".{name}.{uuid.uuid4().hex}.part"), self._at(f".{name}.old")
         stream = self.fs.create(part, True)
         try:
             for block in blocks:
                 stream.write(bytearray(block))
         finally:
             stream.close()
-        self.fs.delete(self._at(name), False)
+        aside = self.holds(name)
+        if aside:
+            self.fs.delete(old, False)
+            self.fs.rename(self._at(name), old)
         if not self.fs.rename(part, self._at(name)):
+            if aside:
+                self.fs.rename(old, self._at(name))
             raise OSError(f"{name} could not be put in place")
+        if aside:
+            self.fs.delete(old, False)
 
     def write_json(self, name: str, value, over: bool = True, indent: int | None = None) -> None:
         self.write(name, [json.dumps(value, ensure_ascii=False, indent=indent).encode()], over)
@@ -99,7 +129,7 @@ class RunLog:
         return sorted(found, key=lambda r: (r.get("submitted", ""), r["batch_id"]))
 
     def latest(self) -> dict | None:
-        return json.loads(self.files.read(LATEST)) if self.files.holds(LATEST) else None
+        return json.loads(self.files.read(LATEST)) if self.files.holds(LATEST) or self.files.holds(f".{LATEST}.old") else None
 
     def record(self, batch_id: str | None) -> dict:
         """The record of a batch; without an id the latest."""
@@ -122,7 +152,10 @@ class RunLog:
         same = any(r.get("digest") == record["digest"] for r in self.records())
         if not guard(self.files.holds(PENDING), same, again, len(requests), confirmed, *([most] if most else [])):
             return None
-        self.files.write_json(PENDING, record, over=False)
+        try:
+            self.files.create(PENDING, json.dumps(record, ensure_ascii=False).encode())  # of two submitters one goes on
+        except FileExistsError as e:
+            raise Refused("a submission is pending; reconcile it first") from e
         try:
             made = transport.post(requests)
         except Rejected as e:
@@ -153,8 +186,13 @@ class RunLog:
         return transport.batch(self.record(batch_id)["batch_id"])
 
     def download(self, transport: Transport, batch_id: str | None = None, force: bool = False) -> str:
-        """Saves the results block by block; a file that is there is kept unless forced."""
-        name = f"{self.record(batch_id)['batch_id']}.results.jsonl"
+        """Saves the results block by block; a file that is there is kept unless forced.  A batch that has not ended is refused."""
+        own = self.record(batch_id)["batch_id"]
+        name = f"{own}.results.jsonl"
         if force or not self.files.holds(name):
-            self.files.write(name, transport.results(self.record(batch_id)["batch_id"]))
+            now = transport.batch(own)
+            state = now.get("processing_status", now.get("status"))
+            if state != "ended":
+                raise Refused(f"{own} is {state or 'of unknown state'}; its results are not whole yet")
+            self.files.write(name, transport.results(own))
         return f"{self.files.root.toString()}/{name}"

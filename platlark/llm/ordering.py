@@ -212,10 +212,9 @@ def write_shards(seqs: DataFrame, first: dict[int, int], total: int, path: str,
 
 
 def read_shards(spark: SparkSession, path: str, params: OrderParams, start_slot: int = 0) -> DataFrame:
-    """(slot, shard, byte_offset, ids) from ``start_slot`` on; earlier shards are not opened."""
-    files = spark.read.format("binaryFile").load(f"{path}/shard=*").select("path", "content", "length")
-    number = F.regexp_extract("path", "shard=([0-9]+)/", 1).cast("long")
-    files = files.withColumn("shard", number).filter(F.col("shard") >= start_slot // params.per_shard).filter("length > 1")
+    """(slot, shard, byte_offset, ids) from ``start_slot`` on; folders of earlier shards are left out when the scan is planned."""
+    files = spark.read.format("binaryFile").load(path).filter(F.col("shard") >= start_slot // params.per_shard).filter("length > 1")
+    files = files.withColumn("shard", F.col("shard").cast("long"))
 
     def run(batches):
         for b in batches:

@@ -18,8 +18,8 @@ Defined results
 * a source whose texts are all empty has the rate 1.
 * weights that name no source are ignored; sources without a weight get the rate 0
   when weights are given.
-* rows repeated under one id get the same count; null ids count as the empty id and
-  are placed by their texts as well.
+* rows repeated under one id get the same count; rows without an id are drawn and placed
+  by an MD5 of their texts, so different texts are drawn apart.
 * extra columns are carried; ``copy`` and ``shuffle_key`` replace columns of those
   names.  An empty table gives an empty result.
 """
@@ -40,6 +40,11 @@ def uniform(doc_id: Column, *salts) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
+def drawn_by(doc_id: Column, text: Column) -> Column:
+    """What a row's draws and places follow: its id, or its text's MD5 where it has none."""
+    return F.coalesce(doc_id.cast("string"), F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary")))
+
+
 def rates(docs: DataFrame, source: str, text: str, weights: dict[str, float] | None, exponent: float, epochs: float) -> DataFrame:
     """(__m_source, rate): target share times all characters over the source's own."""
     size = docs.groupBy(F.col(source).alias("__m_source")).agg(
@@ -89,21 +94,21 @@ def mix(
     table = table.withColumn("__m_cdf", _distribution(F.col("rate") / F.col("draws"))).drop("rate")
     table = staged(table.withColumnRenamed("draws", "__m_draws"), "rates")
     kept = [c for c in docs.columns if c not in ("copy", "shuffle_key")]
-    rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(source).alias("__m_own"), F.col(doc_id).alias("__m_id"), F.col(text).alias("__m_text"))
+    rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(source).alias("__m_own"), drawn_by(F.col(doc_id), F.col(text)).alias("__m_id"))
     own = F.col("__m_own").eqNullSafe(F.col("__m_source"))
     if table.count() <= FEW:
         rows = rows.join(F.broadcast(table), own)
     else:
-        rows = rows.withColumn("__m_salt", F.pmod(F.xxhash64("__m_id", "__m_text"), F.lit(SALTS)))
+        rows = rows.withColumn("__m_salt", F.pmod(F.xxhash64("__m_id"), F.lit(SALTS)))
         table = table.withColumn("__m_to", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         rows = rows.join(table, own & (F.col("__m_salt") == F.col("__m_to")))
     one = lambda j: F.size(F.filter("__m_cdf", lambda c: c <= uniform(F.col("__m_id"), seed, j.cast("string"))))
     count = F.aggregate(F.sequence(F.lit(1), F.col("__m_draws")), F.lit(0), lambda acc, j: acc + one(j))
     rows = rows.withColumn("__m_n", count).filter("__m_n > 0")
     rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__m_n"))))
-    key = F.md5(F.concat_ws(":", F.coalesce(F.col("__m_id").cast("string"), F.lit("")), F.lit(f"{seed}:order"), F.col("copy").cast("string")))
+    key = F.md5(F.concat_ws(":", F.col("__m_id"), F.lit(f"{seed}:order"), F.col("copy").cast("string")))
     rows = rows.withColumn("shuffle_key", key)
-    place = F.when(F.col("__m_id").isNull(), F.md5(F.concat("shuffle_key", F.coalesce("__m_text", F.lit(""))))).otherwise(F.col("shuffle_key"))
+    place = F.col("shuffle_key")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     part = F.floor(F.conv(F.substring(place, 1, 8), 16, 10).cast("double") * n / float(1 << 32)).cast("int")
     rows = rows.select(*[F.col(f"`{c}`") for c in kept], "copy", "shuffle_key", place.alias("__m_place"), part.alias("__m_part"))

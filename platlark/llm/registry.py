@@ -84,13 +84,13 @@ cdf AS (
   SELECT source, k, sum(exp(-mean + k * ln(mean) - lgamma(k + 1.0))) OVER (PARTITION BY source ORDER BY k) AS c
   FROM means, range(64) t(k)
 ), draws AS (
-  SELECT d.doc_id, d.source, j, ('0x' || substr(md5(coalesce(d.doc_id::VARCHAR, '') || ':42:' || j), 1, 13))::BIGINT / 4503599627370496.0 AS u
-  FROM documents d JOIN means m ON d.source IS NOT DISTINCT FROM m.source, LATERAL (SELECT unnest(range(1, m.draws + 1)) AS j)
+  SELECT d.k, d.source, j, ('0x' || substr(md5(d.k || ':42:' || j), 1, 13))::BIGINT / 4503599627370496.0 AS u
+  FROM (SELECT DISTINCT coalesce(doc_id::VARCHAR, md5(coalesce(text, ''))) AS k, source FROM documents) d JOIN means m ON d.source IS NOT DISTINCT FROM m.source, LATERAL (SELECT unnest(range(1, m.draws + 1)) AS j)
 ), counts AS (
-  SELECT w.doc_id, count(*) AS n FROM draws w JOIN cdf c ON w.source IS NOT DISTINCT FROM c.source AND c.c <= w.u GROUP BY w.doc_id
+  SELECT w.k, w.source, count(*) AS n FROM draws w JOIN cdf c ON w.source IS NOT DISTINCT FROM c.source AND c.c <= w.u GROUP BY w.k, w.source
 )
-SELECT d.*, copy::INT AS copy, md5(coalesce(d.doc_id::VARCHAR, '') || ':42:order:' || copy) AS shuffle_key
-FROM documents d JOIN counts USING (doc_id), LATERAL (SELECT unnest(range(1, n + 1)) AS copy)
+SELECT d.*, copy::INT AS copy, md5(c.k || ':42:order:' || copy) AS shuffle_key
+FROM documents d JOIN counts c ON c.k = coalesce(d.doc_id::VARCHAR, md5(coalesce(d.text, ''))) AND c.source IS NOT DISTINCT FROM d.source, LATERAL (SELECT unnest(range(1, n + 1)) AS copy)
 """
 
 

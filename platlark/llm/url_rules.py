@@ -112,8 +112,9 @@ def judge(
     """
     spark = pages.sparkSession
     n = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    kind = pages.schema[row_id].dataType.simpleString()
-    urls = pages.select(F.col(row_id).alias("id"), F.col(url).alias("url"))
+    own_kind = pages.schema[row_id].dataType.simpleString()
+    kind = own_kind if own_kind in ("bigint", "int", "string") else "string"  # other ids travel as text
+    urls = pages.select(F.col(row_id).cast(kind).alias("id"), F.col(url).alias("url"))
     urls = urls.select("id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     urls = urls.select(
         "id", "host", "path", host_key(F.col("host")).alias("key"), F.xxhash64("id", "path").alias("salt")
@@ -157,7 +158,7 @@ def judge(
         F.coalesce("host", F.lit("")).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "action"
     ).distinct()
     both = urls.mapInArrow(deal_urls, schema).union(clean.mapInArrow(deal_rules, schema))
-    both = both.repartition(n, "part").sortWithinPartitions("part", "key", "kind", "host", "path")
+    both = both.repartitionById(n, "part").sortWithinPartitions("part", "key", "kind", "host", "path")
 
     def run(batches):
         def rows():
@@ -187,4 +188,5 @@ def judge(
         if held:
             yield batch()
 
-    return both.mapInArrow(run, f"id {kind}, host string, path string, rule string, verdict string")
+    out = both.mapInArrow(run, f"id {kind}, host string, path string, rule string, verdict string")
+    return out.withColumn("id", F.col("id").cast(own_kind))

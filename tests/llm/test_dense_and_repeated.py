@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from platlark.llm import neardup, spans
+from platlark.llm import mixing, neardup, ordering, spans, url_rules
 
 
 def family(rng, n, near, pair, words=190):
@@ -53,3 +53,42 @@ def test_rows_of_one_id_keep_their_own_text(spark):
     got = sorted(((r.doc_id or 0, r.text, r.n_removed) for r in out.collect()), key=repr)
     assert got == sorted([(1, P, 0), (5, "", 3), (5, Q, 0), (5, Q, 0), (0, P, 0), (0, Q, 0), (7, rows[6][1], 0), (8, "", 3)], key=repr)
     assert out.columns == ["doc_id", "text", "places", "th", "id", "n_sentences", "n_removed"]
+
+
+def test_texts_without_ids_are_drawn_apart(spark):
+    rows = [(None, f"text number {k} of a source", "a") for k in range(400)] + [(1, "x" * 9000, "b")]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights={"a": 0.5, "b": 0.5}, epochs=0.2)
+    copies = {r.text: r["count"] for r in out.filter("source = 'a'").groupBy("text").count().collect()}
+    assert 0 < len(copies) < 400 and len(set(copies.values())) > 1
+    assert out.select("shuffle_key").distinct().count() == out.count()
+
+
+@pytest.mark.parametrize("kind", ["decimal(20,2)", "smallint", "date", "double", "string", "int"])
+def test_url_rules_take_ids_of_any_type(spark, kind):
+    made = "date_add(date'2024-01-01', cast(id as int))" if kind == "date" else f"cast(id as {kind})"
+    pages = spark.range(40).selectExpr(f"case when id % 7 <> 0 then {made} end as page_id", "concat('http://a', id, if(id % 2 = 0, '.net/x', '.org/fr/x')) as url")
+    rules = spark.createDataFrame([("block", "net", "/"), ("allow", "org", "/fr/")], "action string, host string, path string")
+    out = url_rules.judge(pages, rules)
+    assert out.schema["id"].dataType == pages.schema["page_id"].dataType
+    assert sorted((str(r.id), r.verdict) for r in out.collect()) == sorted(
+        (str(r.page_id), "block" if ".net" in r.url else "allow") for r in pages.collect()
+    )
+
+
+def test_a_resumed_read_opens_no_earlier_shard(spark, tmp_path):
+    params = ordering.OrderParams(length=16, per_shard=4)
+    docs = spark.createDataFrame([(k, f"document number {k} with some words in it " * 6) for k in range(30)], "doc_id long, text string")
+    path = str(tmp_path / "shards")
+    ordering.materialise(docs, path, params=params)
+    whole = {r.slot: bytes(r.ids) for r in ordering.read_shards(spark, path, params).collect()}
+    first = next((tmp_path / "shards" / "shard=0").glob("part-*"))
+    with open(first, "wb") as poison:  # longer than a binary file may be
+        poison.truncate(5000)
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "4000")
+    try:
+        rest = {r.slot: bytes(r.ids) for r in ordering.read_shards(spark, path, params, start_slot=6).collect()}
+        assert rest == {k: v for k, v in whole.items() if k >= 6}
+        with pytest.raises(Exception, match="maxLength|exceeds|5000"):
+            ordering.read_shards(spark, path, params, start_slot=3).collect()
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")

@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StringType
 
 from platlark.functions import geometry as G, names as N, platnames as P
+from platlark.functions.shared import staged
+from platlark.operators import overlay as O
 
 ANSWER_FIELDS = ["qid", "label", "confidence", "theme", "reasoning"]
 MIN_THEME_STREETS = 5
@@ -113,8 +115,8 @@ def subdivisions(plats: DataFrame, families: DataFrame, contexts: DataFrame, sco
     year = F.year("recorded")
     f = p.groupBy("family", F.col("family_label").alias("subdivision")).agg(
         F.collect_set("label").alias("labels"), F.min(year).alias("recorded_from"), F.max(year).alias("recorded_to"),
-        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("oid", "rings"))), lambda x: x["rings"])).alias("rings"),
     )
+    f = f.join(O.dissolved(staged(p.select("oid", "family", "rings"), "drawn"), "family"), "family", "left")
     keyed = F.array_sort(F.transform("labels", lambda x: F.struct(N.natural_key(x).alias("k"), x.alias("x"))))
     f = f.withColumn("phases", F.transform(keyed, lambda s: s["x"])).withColumn("phase_count", F.size("labels")).drop("labels")
     namer = contexts.filter("naming_plat is not null").select("place_id", F.col("naming_plat").alias("subdivision"))
@@ -132,8 +134,9 @@ def phases(plats: DataFrame, families: DataFrame, contexts: DataFrame, crossing:
     p = drawn(plats.select("oid", "name", "recorded", "rings")).join(families, "oid")
     g = p.groupBy("family", F.col("family_label").alias("subdivision"), F.col("label").alias("phase_full")).agg(
         F.min(F.year("recorded")).alias("recorded"), F.array_sort(F.collect_list("name")).alias("plats"),
-        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("oid", "rings"))), lambda x: x["rings"])).alias("rings"),
     )
+    whole = O.dissolved(staged(p.select("oid", F.struct("family", "label").alias("act"), "rings"), "drawn"), "act")
+    g = g.join(whole.select("act.family", F.col("act.label").alias("phase_full"), "rings"), ["family", "phase_full"], "left")
     namer = contexts.filter("naming_phase is not null").select("place_id", F.col("naming_plat").alias("subdivision"), F.col("naming_phase").alias("phase_full"))
     through = crossing.join(g.select("family", "subdivision", "phase_full"), ["family", "phase_full"]).join(namer, ["place_id", "subdivision", "phase_full"], "left_anti")
     g = g.join(listed(namer, ["subdivision", "phase_full"], contexts, "named"), ["subdivision", "phase_full"], "left")
@@ -156,10 +159,10 @@ def parts_of(rings: Column) -> Column:
 
 
 def polygon(rings: Column) -> Column:
-    """GeoJSON geometry of rings in metres, rounded; null without any.  Parts are not dissolved into one outline."""
+    """GeoJSON geometry of rings in metres, rounded; null without any."""
     spot = lambda p: G.to_lonlat(p["x"], p["y"])
     shown = lambda ring: without_repeats(rounded(F.transform(ring, spot)))
-    clean = F.transform(parts_of(rings), lambda part: F.filter(F.transform(part, shown), lambda r: F.size(r) > 3))
+    clean = F.transform(parts_of(F.coalesce(rings, F.array().cast(f"array<{O.RING}>"))), lambda part: F.filter(F.transform(part, shown), lambda r: F.size(r) > 3))
     clean = F.filter(clean, lambda part: F.size(part) > 0)
     single = F.to_json(F.struct(F.lit("Polygon").alias("type"), F.get(clean, F.lit(0)).alias("coordinates")))
     many = F.to_json(F.struct(F.lit("MultiPolygon").alias("type"), clean.alias("coordinates")))

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import argparse
-import json
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from platlark.functions import names as N
-from platlark.operators import answers as A, candidates as C, export as E, prompts as B
+from platlark.operators import answers as A, candidates as C, export as E, prompts as B, reports as Y
 from platlark.plans import stages
 from platlark.sources import readers, writers
 
@@ -25,16 +25,25 @@ def measure(spark: SparkSession, a: argparse.Namespace) -> None:
 def context(spark: SparkSession, a: argparse.Namespace) -> None:
     contexts, scored = stages.decide(stages.load(spark, a.measures))
     if a.dump:
-        place = contexts.filter(F.col("core") == N.key(F.lit(a.dump))).orderBy("place_id").limit(1)
-        print(json.dumps([json.loads(x) for x in place.toJSON().collect()], indent=1, ensure_ascii=False))
+        print("\n".join(r.text for r in Y.dump(contexts, N.key(F.lit(a.dump))).collect()))
         return
     writers.table(scored, f"{a.out}/scored")
     writers.table(contexts, f"{a.out}/contexts")
-    spark.read.parquet(f"{a.out}/contexts").agg(
-        F.count(F.lit(1)).alias("places"), F.count_if(F.col("naming_plat").isNotNull()).alias("named"),
-        F.expr("percentile_disc(0.5) within group (order by confidence)").alias("median_confidence"),
-        F.count_if("naming_themeless_era").alias("themeless_era"),
-    ).show()
+    saved = spark.read.parquet(f"{a.out}/contexts")
+    writers.json_map(saved, f"{a.out}/contexts.json", "place_id")
+    counted = Y.neighbour_counts(saved)
+    Y.context_spread(counted).orderBy("line").show()
+    Y.context_figures(counted).show(100, False)
+
+
+def filter_(spark: SparkSession, a: argparse.Namespace) -> None:
+    """The candidates that are left, as a map like the one that was read, and how many were dropped."""
+    found = readers.candidates(spark, a.candidates)
+    kept = C.publishable(found, C.claim_types(readers.claims(spark, a.claims)))
+    fields = [c for c in found.columns if c not in ("core", "pos")]
+    hits = F.transform(F.array_sort(F.collect_list(F.struct("pos", F.struct(*fields).alias("h")))), lambda x: x["h"])
+    writers.json_map(kept.groupBy("core").agg(hits.alias("hits")), a.out, "core", "hits")
+    Y.candidate_figures(found, kept).show(100, False)
 
 
 def batch(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -42,7 +51,8 @@ def batch(spark: SparkSession, a: argparse.Namespace) -> None:
     only = readers.place_ids(spark, a.only) if a.only else None
     exclude = None
     if a.exclude:
-        exclude = readers.batch_index(spark, a.exclude).select(F.col("place").alias("place_id"))
+        asked = [readers.batch_index(spark, x).select(F.col("place").alias("place_id")) for x in a.exclude]
+        exclude = reduce(DataFrame.unionByName, asked).distinct()
     requests, index, estimate = stages.ask(contexts, _candidates(spark, a), only=only, exclude=exclude, limit=a.limit, sample=a.sample)
     writers.json_lines(requests, f"{a.out}/requests", order="custom_id")
     writers.csv(index, f"{a.out}/index", ["n"])
@@ -65,6 +75,7 @@ def draw(spark: SparkSession, a: argparse.Namespace) -> None:
     writers.feature_document(E.polygon_features(subdivisions, "family"), f"{a.out}/subdivisions")
     writers.feature_document(E.polygon_features(phases.withColumn("key", F.concat_ws(" / ", "family", "phase_full")), "key"), f"{a.out}/phases")
     E.legend(streets).orderBy("field", "value").show(100, False)
+    Y.layer_figures(streets, given, E.CATEGORIES).show(100, False)
 
 
 def estimate(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -79,9 +90,9 @@ def parser() -> argparse.ArgumentParser:
     known = ("--candidates", "--claims")
 
     def add(f, *options: str, **extra) -> argparse.ArgumentParser:
-        q = sub.add_parser(f.__name__)
+        q = sub.add_parser(f.__name__.rstrip("_"))
         for o in options:
-            q.add_argument(o, required=o not in ("--claims", "--only", "--exclude", "--dump", "--out"))
+            q.add_argument(o, nargs="+" if o == "--exclude" else None, required=o not in ("--claims", "--only", "--exclude", "--dump", "--out"))
         q.set_defaults(run=f, **extra)
         return q
 
@@ -93,6 +104,7 @@ def parser() -> argparse.ArgumentParser:
     add(answers, "--results", "--index", *known, "--out")
     add(draw, "--measures", "--context", *known, "--out").add_argument("--answers", nargs="+", required=True)
     add(estimate, "--requests")
+    add(filter_, "--candidates", "--out").add_argument("--claims", required=True)
     return p
 
 

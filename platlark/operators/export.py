@@ -12,6 +12,8 @@ from platlark.operators import overlay as O
 
 ANSWER_FIELDS = ["qid", "label", "confidence", "theme", "reasoning"]
 MIN_THEME_STREETS = 5
+#: What a street's answer can be: a map that styles on these shows any other as unknown.
+CATEGORIES = ["ENTITY", "INVENTED", "PERSONAL", "NONE", "NOT_ASKED"]
 
 
 def rounded(points: Column, digits: int = 5) -> Column:

@@ -43,5 +43,13 @@ def feature_document(features: DataFrame, path: str, counts: DataFrame | None =
     documents.save(features.orderBy("place", "feature").select("feature"), path, head + '"features":[', "]}", mode)
 
 
+def json_map(rows: DataFrame, path: str, key: str, value: str | None = None, mode: str = "errorifexists") -> None:
+    """One JSON object of the rows by their key, in its order; ``value``: one column to hold, else all others."""
+    name = F.expr(f"substring(to_json(struct(`{key}` as k)), 6, length(to_json(struct(`{key}` as k))) - 6)")
+    held = F.col(value) if value else F.struct(*[c for c in rows.columns if c != key])
+    texts = rows.orderBy(key).select(F.concat(name, F.lit(":"), F.to_json(held, {"ignoreNullFields": "false"})).alias("text"))
+    documents.save(texts, path, "{", "}", mode)
+
+
 def append_run(record: DataFrame, path: str) -> None:
     record.write.mode("append").parquet(path)

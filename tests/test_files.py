@@ -47,7 +47,8 @@ def test_command_line_runs_every_stage(spark, tmp_path, capsys):
     main(["measure", "--ways", at("ways.json"), "--plats", at("plats.json"), "--out", at("measures")], spark)
     main(["context", "--measures", at("measures"), "--out", at("context")], spark)
     main(["context", "--measures", at("measures"), "--dump", "West Robin Street"], spark)
-    assert '"core": "robin"' in capsys.readouterr().out
+    told = capsys.readouterr().out
+    assert "[robin#0]" in told and "North Wren Court" in told
     main(["batch", "--context", at("context"), "--candidates", at("candidates.json"), "--out", at("batch")], spark)
     lines = [json.loads(r.value) for r in spark.read.text(at("batch/requests")).collect()]
     assert [x["custom_id"] for x in lines] == ["batch-0000"]
@@ -64,7 +65,12 @@ def test_command_line_runs_every_stage(spark, tmp_path, capsys):
     layers = {x: json.loads("".join(r.value for r in spark.read.text(at(f"map/{x}")).collect())) for x in ("streets", "subdivisions", "phases")}
     assert [len(layers[x]["features"]) for x in ("streets", "subdivisions", "phases")] == [3, 1, 2]
     (plat,) = layers["subdivisions"]["features"]
-    assert plat["geometry"]["type"] == "MultiPolygon" and plat["properties"]["phase_count"] == 2
+    # its two plats share a side, so they are drawn as one outline
+    assert plat["geometry"]["type"] == "Polygon" and len(plat["geometry"]["coordinates"]) == 1 and plat["properties"]["phase_count"] == 2
+    (tmp_path / "claims.csv").write_text("item,type\nhttp://kb.example.org/entity/Q1,\n")
+    main(["filter", "--candidates", at("candidates.json"), "--claims", at("claims.csv"), "--out", at("kept.json")], spark)
+    assert {k for k, hits in json.loads((tmp_path / "kept.json").read_text()).items() if hits} == {r.core for r in readers.candidates(spark, at("kept.json")).collect()}
+    assert json.loads((tmp_path / "context" / "contexts.json").read_text()).keys() == {r.place_id for r in spark.read.parquet(at("context/contexts")).collect()}
     with pytest.raises(SystemExit):
         main(["measure", "--ways", "x", "--plats", "y"], spark)
 

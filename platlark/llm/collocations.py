@@ -9,7 +9,8 @@ its key hashes to is full enough; neither test loses a frequent phrase.
 
 1. mappers count keys by bucket in one array (each mapper's counts are cut at the
    threshold, which keeps the test safe); the arrays are summed as a tree of two rounds,
-   in blocks.  There is about a bucket for each ``bucket_words`` words.
+   in blocks.  There are ``2 ** least_bits`` buckets, and about one for each
+   ``bucket_words`` words of a larger corpus.
 2. the distinct keys that pass both tests are the candidates.
 3. a minimal perfect hash over them goes to the mappers, which ``bincount`` verified
    slots; a key that is not the one stored at its slot is no candidate.
@@ -64,8 +65,9 @@ class PhraseParams:
     longest: int = 5
     top: int = 2000
     contained_percent: int = 100
-    bucket_words: int = 6
+    bucket_words: int = 32
     bucket_bits: int = 24
+    least_bits: int = 22
     slice_keys: int = 900_000
     chunk_words: int = 250_000
 
@@ -173,7 +175,7 @@ def _blocks(counts: np.ndarray) -> Iterator[pa.RecordBatch]:
     node = TaskContext.get().partitionId() % GROUPS
     for part in (held[i : i + 256] for i in range(0, len(held), 256)):
         yield pa.RecordBatch.from_arrays(
-            [pa.array(part.astype(np.int32)), pa.array(np.full(len(part), node, np.int32)), pa.array([_packed(wide[b].astype(np.int64)) for b in part], pa.binary())],
+            [pa.array(part.astype(np.int32)), pa.array(np.full(len(part), node, np.int32)), pa.array([_cells(wide[b]) for b in part], pa.binary())],
             ["block", "node", "cells"],
         )
 
@@ -181,6 +183,16 @@ def _blocks(counts: np.ndarray) -> Iterator[pa.RecordBatch]:
 BLOCKS = "block int, node int, cells binary"
 
 
+def _cells(a: np.ndarray) -> bytes:
+    """Counts in the narrowest type, its size first."""
+    kind = np.min_scalar_type(int(a.max()))
+    return bytes([kind.itemsize]) + _packed(a.astype(kind))
+
+
+def _counts(cells: bytes) -> np.ndarray:
+    return _unpacked(cells[1:], f"u{cells[0]}").astype(np.int64)
+
+
 def _tree_sum(parts: DataFrame, name: str) -> DataFrame:
     """Arrays of equal blocks added up: first those of a group of mappers, then those of all."""
 
@@ -188,10 +200,10 @@ def _tree_sum(parts: DataFrame, name: str) -> DataFrame:
         sums: dict[tuple[int, int], np.ndarray] = {}
         for b in batches:
             for block, node, cells in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                a = _unpacked(cells, np.int64)
+                a = _counts(cells)
                 sums[block, node] = sums[block, node] + a if (block, node) in sums else a
         for (block, node), a in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([node], pa.int32()), pa.array([_packed(a)], pa.binary())], ["block", "node", "cells"])
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([node], pa.int32()), pa.array([_cells(a)], pa.binary())], ["block", "node", "cells"])
 
     grouped = parts.repartition("block", "node").mapInArrow(add, BLOCKS)
     return staged(grouped.withColumn("node", F.lit(0)).repartition("block").mapInArrow(add, BLOCKS), name)
@@ -203,7 +215,7 @@ def _sums(blocks: DataFrame, least: int) -> DataFrame:
     def run(batches):
         for b in batches:
             for block, cells in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                a = _unpacked(cells, np.int64)
+                a = _counts(cells)
                 at = np.flatnonzero(a >= least)
                 yield pa.RecordBatch.from_arrays([pa.array(at + block * BLOCK), pa.array(a[at])], ["slot", "f"])
 
@@ -262,20 +274,58 @@ def _chunks(docs: DataFrame, text: str, lang: str, params: PhraseParams) -> Data
     return staged(rows.mapInArrow(run, "lang string, names binary, at binary"), "chunks", "none")
 
 
-def _word_counts(chunks: DataFrame) -> DataFrame:
-    """(lang, word, f) of all words."""
+#: Words that a task holds before it hands them on.
+HELD_WORDS = 400_000
+
+
+def _word_counts(chunks: DataFrame, params: PhraseParams) -> DataFrame:
+    """(lang, word, f): the frequent words, and a row without a word for all words of a language.
+
+    A task adds up its own words and packs them, in order, for the part that a word's hash names.
+    """
+    parts = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches):
+        held: dict[str, dict[bytes, int]] = defaultdict(lambda: defaultdict(int))
+
+        def packed():
+            for tag, counts in held.items():
+                words = sorted(counts)
+                part = np.fromiter((xxhash.xxh3_64_intdigest(w, 5) % parts for w in words), np.int32, len(words))
+                f = np.fromiter((counts[w] for w in words), np.int64, len(words))
+                for k in np.unique(part):
+                    at = np.flatnonzero(part == k)
+                    text = zstandard.compress(b"\n".join([words[i] for i in at]), 3)
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([tag]), pa.array([text], pa.binary()), pa.array([_packed(f[at])], pa.binary())], ["part", "lang", "words", "f"])
+                whole = xxhash.xxh3_64_intdigest(tag.encode(), 5) % parts
+                yield pa.RecordBatch.from_arrays([pa.array([whole], pa.int32()), pa.array([tag]), pa.array([None], pa.binary()), pa.array([_packed(f.sum(keepdims=True))], pa.binary())], ["part", "lang", "words", "f"])
+            held.clear()
+
         for b in batches:
             for tag, names, at in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 words = zstandard.decompress(names).split(b"\n")
-                f = np.bincount(_unpacked(at), minlength=len(words))
-                keep = [i for i, w in enumerate(words) if w != b"."]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([tag] * len(keep)), pa.array([words[i].decode() for i in keep]), pa.array(f[keep], pa.int64())], ["lang", "word", "f"]
-                )
+                own = held[tag]
+                for w, n in zip(words, np.bincount(_unpacked(at), minlength=len(words)).tolist(), strict=True):
+                    if w != b".":
+                        own[w] += n
+                if sum(map(len, held.values())) > HELD_WORDS:
+                    yield from packed()
+        yield from packed()
+
+    def meet(batches):
+        held: dict[str, dict[bytes | None, int]] = defaultdict(lambda: defaultdict(int))
+        for b in batches:
+            for tag, words, f in zip(*(c.to_pylist() for c in b.columns[1:]), strict=True):
+                own = held[tag]
+                for w, n in zip([None] if words is None else zstandard.decompress(words).split(b"\n"), _unpacked(f, np.int64).tolist(), strict=True):
+                    own[w] += n
+        for tag, counts in held.items():
+            rows = [(w, n) for w, n in counts.items() if w is None or n >= params.min_count]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([tag] * len(rows), pa.string()), pa.array([None if w is None else w.decode() for w, _ in rows], pa.string()), pa.array([n for _, n in rows], pa.int64())], ["lang", "word", "f"]
+            )
 
-    return chunks.mapInArrow(run, "lang string, word string, f long").groupBy("lang", "word").agg(F.sum("f").alias("f"))
+    return chunks.mapInArrow(run, "part int, lang string, words binary, f binary").repartitionById(parts, "part").mapInArrow(meet, "lang string, word string, f long")
 
 
 # ---- levels ----------------------------------------------------------------
@@ -325,7 +375,7 @@ def _keys_at(w: np.ndarray, p: np.ndarray, length: int) -> tuple[np.ndarray, np.
 def _word_level(chunks: DataFrame, words: DataFrame, params: PhraseParams) -> tuple[DataFrame, DataFrame]:
     """Frequent words with ids, and (w, p): each chunk's word ids, -1 for rare words and ends of pieces; p is equal to w."""
     key = F.concat_ws("\n", "lang", "word")
-    rows = words.filter(F.col("f") >= params.min_count).select("lang", "word", "f", key.alias("key"))
+    rows = words.filter("word is not null").select("lang", "word", "f", key.alias("key"))
     name = lambda c: [x.encode() for x in c.to_pylist()]
     table, level = chunks.withColumn("w", F.lit(None).cast("binary")), []
     for sent, part, _, last in _indexed(rows, "words", "key", params, lambda c, base: WordIndex(name(c), base), lambda i, c: i.ids(name(c))):
@@ -353,7 +403,7 @@ class _Buckets:
 
     @classmethod
     def of(cls, n_words: int, params: PhraseParams) -> _Buckets:
-        bits = max(12, (n_words // params.bucket_words).bit_length())
+        bits = max(params.least_bits, (n_words // params.bucket_words).bit_length())
         return cls(min(bits, params.bucket_bits), 1 << max(0, bits - params.bucket_bits))
 
     def own(self, keys: np.ndarray, part: int) -> tuple[np.ndarray, np.ndarray]:
@@ -380,7 +430,7 @@ def _full_buckets(table: DataFrame, length: int, buckets: _Buckets, part: int, p
 
     def packed(batches):
         for b in batches:
-            full = [np.packbits(_unpacked(c, np.int64) >= least, bitorder="little").tobytes() for c in b.column(1).to_pylist()]
+            full = [np.packbits(_counts(c) >= least, bitorder="little").tobytes() for c in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(full, pa.binary())], ["block", "full"])
 
     out = np.zeros(((1 << buckets.bits) // BLOCK, BLOCK // 8), np.uint8)
@@ -532,9 +582,9 @@ def _scored(rows: DataFrame) -> DataFrame:
 def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", params: PhraseParams = PhraseParams()) -> DataFrame:
     """Each language's first phrases: lang, rank, phrase, a, l, r, n, score."""
     chunks = _chunks(docs, text, lang, params)
-    words = staged(_word_counts(chunks), "wordcounts")
-    totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
-    buckets = _Buckets.of(words.agg(F.sum("f")).first()[0] or 0, params)
+    words = staged(_word_counts(chunks, params), "wordcounts")
+    totals = words.filter("word is null").select("lang", F.col("f").alias("n"))
+    buckets = _Buckets.of(totals.agg(F.sum("n")).first()[0] or 0, params)
     level, table = _word_level(chunks, words, params)
     none = F.array().cast("array<bigint>")
     info = level.select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", none.alias("lefts"), none.alias("rights"))

@@ -241,8 +241,8 @@ def corpus():
     "params",
     [
         C.PhraseParams(min_count=4),
-        C.PhraseParams(min_count=3, top=7, contained_percent=60, chunk_words=50),
-        C.PhraseParams(min_count=4, slice_keys=6, bucket_bits=12, bucket_words=1, chunk_words=300),
+        C.PhraseParams(min_count=6, longest=4, top=7, contained_percent=60, chunk_words=50),
+        C.PhraseParams(min_count=12, longest=3, slice_keys=40, bucket_bits=12, least_bits=13, chunk_words=300),
     ],
 )
 def test_collocations_match_plain_version(spark, corpus, params):
@@ -262,7 +262,7 @@ def test_texts_are_cut_where_pieces_end(monkeypatch):
 
 
 def test_buckets_beyond_a_slice_are_dealt():
-    buckets = C._Buckets.of(10**6, C.PhraseParams(bucket_bits=14))
+    buckets = C._Buckets.of(10**6, C.PhraseParams(bucket_bits=14, least_bits=12, bucket_words=6))
     assert buckets.bits == 14 and buckets.slices == 16
     keys = np.random.default_rng(2).integers(0, 2**63, 5000).astype(np.uint64)
     parts = [buckets.own(keys, k)[0] for k in range(buckets.slices)]

@@ -12,8 +12,10 @@ pairs, never all pairs.
 Recall is part of the design: the width follows the number of fingerprints, so that
 upper nodes keep their size, and the number of tables follows the width
 (``tables_for``), so that a pair of similarity ``least`` is found with chance
-``recall`` at any size.  Where a node is overfull, a block boundary asks for a few more
-equal bits; the other tables cut elsewhere.
+``recall`` at any size.  Where a node was cut, by a block boundary or at the end of a
+partition, its rows are handed on as well: they are dealt into blocks by hash, and every two
+blocks meet in a task of their own (``whole_nodes``), so no near pair of a node is lost.
+That work is quadratic in the node, bounded in memory and spread over the cluster.
 
 Candidates are verified on the whole shingle sets.  First each node verifies its
 nearest ``NEAREST`` candidates; then every candidate whose ends verified links have not
@@ -42,9 +44,10 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from platlark.functions.shared import staged
+from platlark.functions.shared import large, staged
 from platlark.llm.simhash import fingerprint_batch, shingles
 from platlark.operators.graph import connected_components
 
@@ -52,6 +55,8 @@ BITS = 128
 #: Of texts that go through tables again: the chance that a true link meets, and the least width.
 SECOND, SECOND_WIDTH = 0.98, 8
 NODE_ROWS, LAP, NEAREST = 1024, 256, 4
+#: Rows of a block of a node that was cut, without and with their shingle sets beside them.
+BLOCK, SET_BLOCK = 1024, 512
 #: Rows that an upper node has on average once the corpus is large enough.
 NODE_MEAN, LEAST_WIDTH = 256, 10
 
@@ -135,6 +140,16 @@ def block_pairs(lanes: np.ndarray, end: np.ndarray, radius: int) -> tuple[np.nda
     return tuple(np.concatenate(out, axis=1)) if out else (np.zeros(0, np.int64),) * 3
 
 
+def cross_pairs(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(q, j, apart) of the rows q of ``a`` and j of ``b`` that differ in at most ``radius`` bits."""
+    out = []
+    for at in range(0, len(a), 64):
+        apart = np.bitwise_count(a[at : at + 64, None] ^ b[None]).sum(axis=2, dtype=np.int64)
+        q, j = np.nonzero(apart <= radius)
+        out.append(np.stack([q + at, j, apart[q, j]]))
+    return tuple(np.concatenate(out, axis=1)) if out else (np.zeros(0, np.int64),) * 3
+
+
 def alike_pairs(sets: list[bytes], q: np.ndarray, j: np.ndarray, least: float) -> np.ndarray:
     """Whether the shingle sets of each pair (q, j) are alike: shingles that two sets hold are bits, counted where both are set."""
     parts = [np.frombuffer(s, np.uint32) for s in sets]
@@ -202,7 +217,7 @@ def sorted_links(ranks: np.ndarray, node: np.ndarray, radius: int, sets: list[by
 
 
 def candidates(nodes: DataFrame, radius: int, width: int, tables: int) -> DataFrame:
-    """(src, dst, apart), src < dst: pairs of ``nodes`` (node, code) that some table puts near each other."""
+    """(src, dst, apart), src < dst: pairs of ``nodes`` (node, code) that some table puts near each other, those that a cut parts included."""
     return _near_in_tables(nodes, radius, width, tables)
 
 
@@ -226,7 +241,7 @@ def _near_in_tables(nodes: DataFrame, radius: int, width: int, tables: int, leas
     mask = np.frombuffer((((1 << width) - 1) << (8 * lead - width)).to_bytes(lead, "big"), np.uint8)
 
     def links(batches):
-        rest = None
+        rest, part, opened = None, TaskContext.get().partitionId(), True  # opened: the first node may have begun before
         for b in _ended(batches):
             t = rest if b is None else pa.Table.from_batches([b] if rest is None else [*rest.to_batches(), b])
             if t is None or not len(t):
@@ -241,23 +256,72 @@ def _near_in_tables(nodes: DataFrame, radius: int, width: int, tables: int, leas
             if len(rank) - stop > 4 * NODE_ROWS:  # a node that goes on: it is searched so far, an overlap is carried
                 stop, carry = len(rank), len(rank) - LAP
             rest = t.slice(carry)
-            if stop < 2:
+            if not stop:
                 continue
             number = np.zeros(stop, np.int64)
             number[new[(new > 0) & (new < stop)]] = 1
+            number = np.cumsum(number)
+            torn = np.bincount(number) > NODE_ROWS
+            torn[0] |= opened
+            torn[-1] |= b is None
+            opened = carry < stop
+            held = np.flatnonzero(torn[number])
+            if len(held):
+                heads = [h[: 4 + lead].tobytes() for h in head[held]]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.nulls(len(held), pa.int64()), t.column(2).combine_chunks().take(pa.array(held)), pa.array(np.full(len(held), part, np.int32)), pa.array(heads, pa.binary())], columns
+                )
             sets = t.column(3).slice(0, stop).to_pylist() if least is not None else None
-            q, j, apart = sorted_links(rank[:stop], np.cumsum(number), radius, sets, least or 0)
+            q, j, apart = sorted_links(rank[:stop], number, radius, sets, least or 0)
             ids = t.column(2).to_numpy()
             if len(q):
                 a, z = ids[q], ids[j]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.minimum(a, z)), pa.array(np.maximum(a, z)), pa.array(apart.astype(np.int32))], ["src", "dst", "apart"]
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, z)), pa.array(np.maximum(a, z)), pa.array(apart.astype(np.int32)), pa.nulls(len(q), pa.binary())], columns)
 
-    found = rows.mapInArrow(links, "src long, dst long, apart int")
+    columns = ["src", "dst", "apart", "head"]
+    # rows without src are the rows of nodes that may have been cut: node, partition, head
+    found = staged(rows.mapInArrow(links, "src long, dst long, apart int, head binary"), "found")
+    torn = found.filter("src is null").select("head", F.col("dst").alias("node"), F.col("apart").alias("part"))
+    found = found.filter("src is not null").select("src", "dst", "apart").unionByName(whole_nodes(torn, nodes.select(*names), radius, least))
     return found.groupBy("src", "dst").agg(F.min("apart").alias("apart"))
 
 
+def whole_nodes(torn: DataFrame, nodes: DataFrame, radius: int, least: float | None = None) -> DataFrame:
+    """(src, dst, apart): forests of the near pairs of every two blocks of each node that was cut.
+
+    torn: head, node, part, all rows of nodes that are overfull or stand at an end of a partition.
+    """
+    block = BLOCK if least is None else SET_BLOCK
+    rows = torn.groupBy("head", "node").agg(F.min("part").alias("lo"), F.max("part").alias("hi"))
+    size = rows.groupBy("head").agg(F.count(F.lit(1)).alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    size = size.filter((F.col("n") > NODE_ROWS) | (F.col("lo") < F.col("hi"))).select("head", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    rows = rows.select("head", "node").join(large(size), "head").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = rows.join(large(nodes), "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    sets = [F.col("s")] if least is not None else []
+    rows = rows.select("head", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "code", *sets)
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        side = t.column("block").to_numpy()
+        order = np.argsort(side, kind="stable")
+        t, n = t.take(pa.array(order)), int((side == side.min()).sum())
+        lanes = np.frombuffer(b"".join(t.column("code").to_pylist()), np.uint8).reshape(-1, BITS // 8).view(np.uint64)
+        if t.column("i")[0].as_py() == t.column("j")[0].as_py():
+            q, j, apart = block_pairs(lanes, np.full(len(lanes), len(lanes)), radius)
+        else:
+            q, j, apart = cross_pairs(lanes[:n], lanes[n:], radius)
+            j = j + n
+        if least is not None and len(q):
+            keep = alike_pairs(t.column("s").to_pylist(), q, j, least)
+            q, j, apart = q[keep], j[keep], apart[keep]
+        keep = nearest_forest(len(lanes), q, j, apart)
+        ids = t.column("node").to_numpy()
+        a, z = ids[q[keep]], ids[j[keep]]
+        return pa.table([pa.array(np.minimum(a, z), pa.int64()), pa.array(np.maximum(a, z), pa.int64()), pa.array(apart[keep].astype(np.int32))], ["src", "dst", "apart"])
+
+    return rows.groupBy("head", "i", "j").applyInArrow(run, "src long, dst long, apart int")
+
+
 def _ended(batches):
     yield from batches
     yield None

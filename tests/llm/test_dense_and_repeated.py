@@ -92,3 +92,32 @@ def test_a_resumed_read_opens_no_earlier_shard(spark, tmp_path):
             ordering.read_shards(spark, path, params, start_slot=3).collect()
     finally:
         spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+
+
+@pytest.mark.parametrize("with_sets", [False, True])
+def test_no_near_pair_of_an_overfull_node_is_lost(spark, with_sets):
+    """3,000 codes of one node, cut by blocks and by partitions: one table joins all that links of the node join."""
+    rng = np.random.default_rng(3)
+    bits = neardup.orders(1)[0]
+    flat = np.zeros((3000, neardup.BITS), np.uint8)
+    flat[:, bits[8:30]] = (rng.choice(1 << 22, 3000, replace=False)[:, None] >> np.arange(22)) & 1
+    lanes = np.packbits(flat, axis=1)
+    rows = [(k, c.tobytes(), np.array([k // 2], np.uint32).tobytes()) for k, c in enumerate(lanes)]
+    d = spark.createDataFrame(rows, "node long, code binary, s binary")
+    apart = np.bitwise_count(lanes.view(np.uint64)[:, None] ^ lanes.view(np.uint64)[None]).sum(axis=2)
+    near = apart <= 3
+    if with_sets:  # only the rows 2k and 2k + 1 are alike
+        near = (apart <= 20) & (np.arange(3000)[:, None] // 2 == np.arange(3000)[None] // 2)
+    want, have = np.arange(3000), np.arange(3000)
+    q, j = np.nonzero(np.triu(near, 1))
+    found = neardup._near_in_tables(d, 20, 8, 1, 0.8, 7) if with_sets else neardup.candidates(d.drop("s"), 3, 8, 1)
+    got = [(r.src, r.dst) for r in found.collect()]
+    assert all(near[a, b] and a < b for a, b in got) and len(set(got)) == len(got)
+    for label, pairs in ((want, zip(q.tolist(), j.tolist())), (have, got)):
+        find = lambda x: x if label[x] == x else find(label[x])  # noqa: E731, B023
+        for a, b in pairs:
+            a, b = find(a), find(b)
+            label[max(a, b)] = min(a, b)
+        for x in range(3000):
+            label[x] = find(x)
+    assert len(np.unique(want)) < 3000 and (want == have).all()

@@ -7,9 +7,11 @@ word, so its key is an exact 64-bit number.  It can be frequent only if the phra
 without its last and without its first word are (Apriori), and only if the bucket that
 its key hashes to is full enough; neither test loses a frequent phrase.
 
+Words are counted in two steps as well: by bucket first, then only those in full buckets.
+
 1. mappers count keys by bucket in one array (each mapper's counts are cut at the
-   threshold, which keeps the test safe); the arrays are summed as a tree of two rounds,
-   in blocks.  There are ``2 ** least_bits`` buckets, and about one for each
+   threshold, which keeps the test safe); the arrays are summed in blocks, each block
+   where its number's hash deals it.  There are ``2 ** least_bits`` buckets, and about one for each
    ``bucket_words`` words of a larger corpus.
 2. the distinct keys that pass both tests are the candidates.
 3. a minimal perfect hash over them goes to the mappers, which ``bincount`` verified
@@ -50,8 +52,6 @@ from platlark.functions.shared import staged
 
 #: Places in a block of an array that is summed.
 BLOCK = 4096
-#: Mappers' arrays meet in so many groups before they meet in one.
-GROUPS = 8
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else 46 if c in b".,;:!?" or 10 <= c <= 13 else c for c in range(256))
 #: Bytes of a text that are cut into words at once, where it has an end of a piece.
 STRETCH = 1 << 20
@@ -167,20 +167,14 @@ def _unpacked(b, dtype=np.int32) -> np.ndarray:
 
 
 def _blocks(counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(block, node, cells) of every block that is not empty."""
-    from pyspark import TaskContext
-
+    """(block, cells) of every block that is not empty."""
     wide = np.pad(counts, (0, -len(counts) % BLOCK if len(counts) else BLOCK)).reshape(-1, BLOCK)
     held = np.flatnonzero(wide.any(axis=1))
-    node = TaskContext.get().partitionId() % GROUPS
     for part in (held[i : i + 256] for i in range(0, len(held), 256)):
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(part.astype(np.int32)), pa.array(np.full(len(part), node, np.int32)), pa.array([_cells(wide[b]) for b in part], pa.binary())],
-            ["block", "node", "cells"],
-        )
+        yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array([_cells(wide[b]) for b in part], pa.binary())], ["block", "cells"])
 
 
-BLOCKS = "block int, node int, cells binary"
+BLOCKS = "block int, cells binary"
 
 
 def _cells(a: np.ndarray) -> bytes:
@@ -193,20 +187,19 @@ def _counts(cells: bytes) -> np.ndarray:
     return _unpacked(cells[1:], f"u{cells[0]}").astype(np.int64)
 
 
-def _tree_sum(parts: DataFrame, name: str) -> DataFrame:
-    """Arrays of equal blocks added up: first those of a group of mappers, then those of all."""
+def _block_sums(parts: DataFrame, name: str) -> DataFrame:
+    """Arrays of equal blocks added up.  Blocks are dealt over all tasks, so no task holds more than its own."""
 
     def add(batches):
-        sums: dict[tuple[int, int], np.ndarray] = {}
+        sums: dict[int, np.ndarray] = {}
         for b in batches:
-            for block, node, cells in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for block, cells in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 a = _counts(cells)
-                sums[block, node] = sums[block, node] + a if (block, node) in sums else a
-        for (block, node), a in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([node], pa.int32()), pa.array([_cells(a)], pa.binary())], ["block", "node", "cells"])
+                sums[block] = sums[block] + a if block in sums else a
+        for block, a in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([_cells(a)], pa.binary())], ["block", "cells"])
 
-    grouped = parts.repartition("block", "node").mapInArrow(add, BLOCKS)
-    return staged(grouped.withColumn("node", F.lit(0)).repartition("block").mapInArrow(add, BLOCKS), name)
+    return staged(parts.repartition("block").mapInArrow(add, BLOCKS), name)
 
 
 def _sums(blocks: DataFrame, least: int) -> DataFrame:
@@ -222,6 +215,20 @@ def _sums(blocks: DataFrame, least: int) -> DataFrame:
     return blocks.select("block", "cells").mapInArrow(run, "slot long, f long")
 
 
+def _full_bits(sums: DataFrame, bits: int, least: int) -> np.ndarray:
+    """Which of ``2 ** bits`` summed cells reach ``least``, as packed bits."""
+
+    def packed(batches):
+        for b in batches:
+            full = [np.packbits(_counts(c) >= least, bitorder="little").tobytes() for c in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(full, pa.binary())], ["block", "full"])
+
+    out = np.zeros((max(1, (1 << bits) // BLOCK), BLOCK // 8), np.uint8)
+    for block, full in zip(*(c.to_pylist() for c in sums.mapInArrow(packed, "block int, full binary").toArrow().columns), strict=True):
+        out[block] = np.frombuffer(full, np.uint8)
+    return out.reshape(-1)
+
+
 # ---- words -----------------------------------------------------------------
 
 
@@ -278,15 +285,42 @@ def _chunks(docs: DataFrame, text: str, lang: str, params: PhraseParams) -> Data
 HELD_WORDS = 400_000
 
 
+def _word_keys(tag: str, words: list[bytes]) -> np.ndarray:
+    seed = xxhash.xxh3_64_intdigest(tag.encode(), 7)
+    return np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in words), np.uint64, len(words))
+
+
+def _full_words(chunks: DataFrame, params: PhraseParams) -> np.ndarray:
+    """Whether each of ``2 ** least_bits`` buckets of words may hold a frequent one, as packed bits."""
+    least, kind = params.min_count, np.min_scalar_type(2 * params.min_count)
+
+    def run(batches):
+        counts = np.zeros(1 << params.least_bits, kind)
+        for b in batches:
+            for tag, names, at in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                words = zstandard.decompress(names).split(b"\n")
+                place = (_word_keys(tag, words) >> np.uint64(64 - params.least_bits)).astype(np.int64)
+                order = np.argsort(place, kind="stable")
+                place, n = place[order], np.bincount(_unpacked(at), minlength=len(words))[order]
+                first = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+                own = np.minimum(np.add.reduceat(n, first), least).astype(kind)
+                counts[place[first]] = np.minimum(counts[place[first]] + own, least)
+        yield from _blocks(counts)
+
+    return _full_bits(_block_sums(chunks.mapInArrow(run, BLOCKS), "wordbuckets"), params.least_bits, least)
+
+
 def _word_counts(chunks: DataFrame, params: PhraseParams) -> DataFrame:
     """(lang, word, f): the frequent words, and a row without a word for all words of a language.
 
-    A task adds up its own words and packs them, in order, for the part that a word's hash names.
+    A task adds up its own words in full buckets and packs them, in order, for the part that a word's hash names.
     """
+    sent = chunks.sparkSession.sparkContext.broadcast(_full_words(chunks, params))
     parts = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches):
         held: dict[str, dict[bytes, int]] = defaultdict(lambda: defaultdict(int))
+        whole: dict[str, int] = defaultdict(int)
 
         def packed():
             for tag, counts in held.items():
@@ -297,20 +331,24 @@ def _word_counts(chunks: DataFrame, params: PhraseParams) -> DataFrame:
                     at = np.flatnonzero(part == k)
                     text = zstandard.compress(b"\n".join([words[i] for i in at]), 3)
                     yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([tag]), pa.array([text], pa.binary()), pa.array([_packed(f[at])], pa.binary())], ["part", "lang", "words", "f"])
-                whole = xxhash.xxh3_64_intdigest(tag.encode(), 5) % parts
-                yield pa.RecordBatch.from_arrays([pa.array([whole], pa.int32()), pa.array([tag]), pa.array([None], pa.binary()), pa.array([_packed(f.sum(keepdims=True))], pa.binary())], ["part", "lang", "words", "f"])
             held.clear()
 
         for b in batches:
             for tag, names, at in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 words = zstandard.decompress(names).split(b"\n")
-                own = held[tag]
-                for w, n in zip(words, np.bincount(_unpacked(at), minlength=len(words)).tolist(), strict=True):
-                    if w != b".":
-                        own[w] += n
+                own, f = held[tag], np.bincount(_unpacked(at), minlength=len(words))
+                place = (_word_keys(tag, words) >> np.uint64(64 - params.least_bits)).astype(np.int64)
+                full = np.flatnonzero((sent.value[place >> 3] >> (place & 7).astype(np.uint8)) & 1)
+                for i, n in zip(full.tolist(), f[full].tolist(), strict=True):
+                    if words[i] != b".":
+                        own[words[i]] += n
+                whole[tag] += int(f.sum()) - int(f[words.index(b".")] if b"." in words else 0)
                 if sum(map(len, held.values())) > HELD_WORDS:
                     yield from packed()
         yield from packed()
+        for tag, n in whole.items():
+            part = xxhash.xxh3_64_intdigest(tag.encode(), 5) % parts
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([tag]), pa.array([None], pa.binary()), pa.array([_packed(np.array([n], np.int64))], pa.binary())], ["part", "lang", "words", "f"])
 
     def meet(batches):
         held: dict[str, dict[bytes | None, int]] = defaultdict(lambda: defaultdict(int))
@@ -426,17 +464,7 @@ def _full_buckets(table: DataFrame, length: int, buckets: _Buckets, part: int, p
                 counts[place] = np.minimum(counts[place] + np.minimum(n, least).astype(kind), least)
         yield from _blocks(counts)
 
-    summed = _tree_sum(table.mapInArrow(run, BLOCKS), "buckets")
-
-    def packed(batches):
-        for b in batches:
-            full = [np.packbits(_counts(c) >= least, bitorder="little").tobytes() for c in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(full, pa.binary())], ["block", "full"])
-
-    out = np.zeros(((1 << buckets.bits) // BLOCK, BLOCK // 8), np.uint8)
-    for block, full in zip(*(c.to_pylist() for c in summed.select("block", "cells").mapInArrow(packed, "block int, full binary").toArrow().columns), strict=True):
-        out[block] = np.frombuffer(full, np.uint8)
-    return out.reshape(-1)
+    return _full_bits(_block_sums(table.mapInArrow(run, BLOCKS), "buckets"), buckets.bits, least)
 
 
 #: Keys that a task holds before it hands them on.
@@ -531,7 +559,7 @@ def _count(table: DataFrame, length: int, candidates: DataFrame, params: PhraseP
                     counts += np.bincount(ids[ids >= 0] - index.base, minlength=n)
             yield from _blocks(counts)
 
-        sums = _sums(_tree_sum(table.mapInArrow(run, BLOCKS), "counts"), params.min_count)
+        sums = _sums(_block_sums(table.mapInArrow(run, BLOCKS), "counts"), params.min_count)
         slot = (F.col("id") - F.lit(sent.value.base)).alias("slot")
         found.append(staged(part.select("key", "sid", slot).join(sums, "slot").select("key", "sid", "f"), "frequent"))
     return _all_slices(found)

@@ -21,3 +21,16 @@ def test_scores_group_and_join_where_the_facts_were_dealt(spark, tmp_path):
     plan = scored._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 2 and plan.count("REPARTITION_BY_NUM") == 2
     assert scored.count() == len({(a, b) for a, b, _c, _d in rows})
+
+
+def test_rare_words_are_not_handed_on_and_arrays_meet_once(spark):
+    """Words in buckets that no frequent word can be in stay in their task; the counts are those of all words."""
+    from platlark.llm import collocations as C
+
+    docs = spark.createDataFrame([("en", "sea salt. " * 30 + " ".join(f"rare{k}x{i}" for i in range(500))) for k in range(8)], "lang string, text string").repartition(4)
+    params = C.PhraseParams(min_count=100, least_bits=16)
+    chunks = C._chunks(docs, "text", "lang", params)
+    assert C._full_words(chunks, params).size == 1 << 13 and bin(int.from_bytes(C._full_words(chunks, params).tobytes(), "little")).count("1") <= 4
+    assert {tuple(r) for r in C._word_counts(chunks, params).collect()} == {("en", "sea", 240), ("en", "salt", 240), ("en", None, 4480)}
+    sums = C._block_sums(spark.createDataFrame([(1, bytes(C._cells(C.np.arange(C.BLOCK)))), (1, bytes(C._cells(C.np.arange(C.BLOCK))))], C.BLOCKS), "sums")
+    assert [(r.slot, r.f) for r in C._sums(sums, 8188).orderBy("slot").collect()] == [(2 * C.BLOCK - 2, 8188), (2 * C.BLOCK - 1, 8190)]
